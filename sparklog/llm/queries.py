@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import chat, mixing, packing, quality, search, urls
+from sparklog.llm import chat, mixing, packing, quality, search, substrings, urls
 from sparklog.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op5_chat, op6_topk, op7_urls, op9_quality, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op5_chat, op6_topk, op7_urls, op8_substrings, op9_quality, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
 
