@@ -18,13 +18,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.shared import fingerprint_partitions, pieces, utf8
+from sparklog.llm.shared import pieces, utf8
 
 #: Stands for a null doc_id, which so comes after all others.
 LAST = (1 << 63) - 1
 
-ROWS = "bucket int, doc_id long, tag long, block binary"
-POSITIONS = "doc_id long, tag long, block binary"
+ROWS = "bucket int, doc_id long, tag long, kind int, block binary"
+POSITIONS = "doc_id long, tag long, kind int, block binary"
 
 _UNSIGNED = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
 
@@ -76,15 +76,12 @@ def unpack_arrays(block: bytes) -> list[np.ndarray]:
     return out
 
 
-def pack_positions(pos: np.ndarray) -> bytes:
-    """Ascending positions."""
-    return pack_arrays(np.diff(pos.astype(np.uint32), prepend=np.uint32(0)))
-
-
-def unpack_positions(blocks: list[bytes]) -> np.ndarray:
+def unpack_positions(blocks: list[bytes] | None) -> list[np.ndarray]:
+    """Positions of several blocks, and what goes with each."""
     if not blocks:
-        return np.zeros(0, np.int64)
-    return np.concatenate([np.cumsum(unpack_arrays(b)[0], dtype=np.int64) for b in blocks])
+        return []
+    parts = [unpack_arrays(b) for b in blocks]
+    return [np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in parts])] + [np.concatenate([p[i] for p in parts]) for i in range(1, len(parts[0]))]
 
 
 class Batch:
@@ -95,23 +92,24 @@ class Batch:
 
     def entries(self, key: np.ndarray, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: list[np.ndarray], buckets: int) -> None:
         """Sends entries, sorted by key; doc indexes ids and tags."""
-        bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        edges = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 63))).tolist() if len(key) else []
+        bucket = bucket_of(key, buckets)
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
         for a, b in zip(edges, edges[1:] + [len(key)], strict=True):
             used, index = np.unique(doc[a:b], return_inverse=True)
             kind = np.uint16 if len(used) < 1 << 16 else np.uint32
             block = pack_arrays(np.diff(key[a:b], prepend=np.uint64(0)), ids[used].view(np.uint64), tags[used].view(np.uint64), index.astype(kind), pos[a:b].astype(np.uint32), *[m[a:b] for m in more])
-            self.rows.append((int(bucket[a]), None, None, block))
+            self.rows.append((int(bucket[a]), None, None, None, block))
 
-    def positions(self, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int | None = None) -> None:
+    def positions(self, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: list[np.ndarray] = [], kind: int = 0, buckets: int | None = None) -> None:  # noqa: B006
         """Gives documents positions of theirs; with ``buckets``, as rows that pass through the exchange."""
         if not len(doc):
             return
         order = np.lexsort((pos, doc))
-        doc, pos = doc[order], pos[order]
+        doc, pos, more = doc[order], pos[order], [m[order] for m in more]
         edges = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)).tolist()
         for a, b in zip(edges, edges[1:] + [len(doc)], strict=True):
-            row = (int(ids[doc[a]]), int(tags[doc[a]]), pack_positions(pos[a:b]))
+            block = pack_arrays(np.diff(pos[a:b].astype(np.uint32), prepend=np.uint32(0)), *[m[a:b] for m in more])
+            row = (int(ids[doc[a]]), int(tags[doc[a]]), kind, block)
             self.rows.append((row[0] % buckets, *row) if buckets else row)
 
     def take(self, schema: str) -> pa.RecordBatch:
@@ -128,36 +126,53 @@ def texts_of(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterato
         yield batch, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), utf8(batch.column(text))
 
 
-def exchange(source: DataFrame, send: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]], settle: Callable[..., tuple[np.ndarray, ...]], sized_by: DataFrame) -> DataFrame:
-    """Sends entries to buckets and settles each bucket's by itself.
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets divide the range of keys evenly."""
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+#: (kind, doc, pos, more): documents, by index, that are to be given positions.
+Answer = tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]
+
 
-    ``settle`` gets (key, ids, tags, doc, pos, *more) of a partition and returns
-    the indexes of entries whose documents are to be given their position.
-    Returns ``POSITIONS``.
+def exchange(source: DataFrame, send: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]], settle: Callable[[list[bytes], int], tuple[np.ndarray, np.ndarray, list[Answer]]], buckets: int) -> DataFrame:
+    """Sends blocks of entries to buckets and settles each partition by itself; returns ``POSITIONS``.
+
+    ``settle`` gets the blocks and the number of buckets, and returns ids, tags
+    and the answers to their positions.
     """
-    buckets = fingerprint_partitions(sized_by)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, out = [], Batch()
         for batch in batches:
-            for _, doc, tag, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, doc, tag, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if doc is None:
                     blocks.append(block)
                 else:
-                    out.rows.append((doc, tag, block))
+                    out.rows.append((doc, tag, kind, block))
             if out.rows:
                 yield out.take(POSITIONS)
         if blocks:
-            columns = joined(blocks)
-            index = settle(*columns)
-            ids, tags, doc, pos = columns[1:5]
-            out.positions(ids, tags, doc[index], pos[index].astype(np.int64))
+            ids, tags, answers = settle(blocks, buckets)
+            for kind, doc, pos, more in answers:
+                out.positions(ids, tags, doc, pos, more, kind)
             yield out.take(POSITIONS)
 
     sent = source.mapInArrow(lambda batches: send(batches, buckets), ROWS)
     return sent.repartition(buckets, "bucket").mapInArrow(reduce, POSITIONS)
 
 
+def chosen(choose: Callable[..., np.ndarray]) -> Callable[[list[bytes], int], tuple[np.ndarray, np.ndarray, list[Answer]]]:
+    """Settles by a function of (key, ids, tags, doc, pos, *more) that returns the entries to be answered."""
+
+    def settle(blocks: list[bytes], _: int) -> tuple[np.ndarray, np.ndarray, list[Answer]]:
+        key, ids, tags, doc, pos, *more = joined(blocks)
+        index = choose(key, ids, tags, doc, pos, *more)
+        return ids, tags, [(0, doc[index], pos[index].astype(np.int64), [])]
+
+    return settle
+
+
 def joined(blocks: list[bytes]) -> list[np.ndarray]:
     """Entries of several blocks as (key, ids, tags, doc, pos, *more); doc indexes ids and tags, which are distinct and sorted."""
     parts = [unpack_arrays(b) for b in blocks]
@@ -177,6 +192,6 @@ def joined(blocks: list[bytes]) -> list[np.ndarray]:
     return [key, ranked["i"][new], ranked["t"][new], doc, *rest]
 
 
-def gathered(positions: DataFrame) -> DataFrame:
-    """All blocks of each document."""
-    return positions.groupBy("doc_id", "tag").agg(F.collect_list("block").alias("blocks"))
+def gathered(positions: DataFrame, kind: int = 0) -> DataFrame:
+    """All blocks of one kind of each document."""
+    return positions.where(F.col("kind") == kind).groupBy("doc_id", "tag").agg(F.collect_list("block").alias("blocks"))

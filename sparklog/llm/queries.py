@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import chat, mixing, packing, quality, search, substrings, urls
+from sparklog.llm import chat, mixing, packing, quality, search, substrings, suffixes, urls
 from sparklog.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(read_table(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(HOSTILE).alias("text"))
@@ -58,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op5_chat, op6_topk, op7_urls, op8_substrings, op9_quality, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op4_suffixes, op5_chat, op6_topk, op7_urls, op8_substrings, op9_quality, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
 

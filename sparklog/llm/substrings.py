@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.fingerprints import ROWS, Batch, exchange, gathered, keyed, own_id, rolling, texts_of, unpack_positions
-from sparklog.llm.shared import Scratch
+from sparklog.llm.fingerprints import ROWS, Batch, chosen, exchange, gathered, keyed, own_id, rolling, texts_of, unpack_positions
+from sparklog.llm.shared import Scratch, fingerprint_partitions
 
 #: Bytes of text whose repeats are settled before anything is sent.
 CHUNK = 8_000_000
@@ -71,7 +71,7 @@ def probe(batches: Iterator[pa.RecordBatch], buckets: int, block: int) -> Iterat
             size = np.diff(np.append(first, len(key)))
             indexed = np.logical_or.reduceat(pos % block == 0, first)
             again = np.repeat(size > 1, size)
-            out.positions(ids, tags, doc[again], pos[again], buckets)
+            out.positions(ids, tags, doc[again], pos[again], buckets=buckets)
             out.entries(key[first], ids, tags, doc[first], pos[first], [indexed.astype(np.uint8)], buckets)
         yield out.take(ROWS)
 
@@ -93,7 +93,7 @@ def compare(batches: Iterator[pa.RecordBatch], buckets: int, block: int, window:
         first_word = np.cumsum(counts) - counts
         hits = np.zeros(len(h) + 1, np.int64)
         for start, blocks in zip(first_word.tolist(), batch.column(3).to_pylist(), strict=True):
-            hits[start + unpack_positions(blocks)] = 1
+            hits[start + unpack_positions(blocks)[0]] = 1
         seen = np.concatenate([[0], np.cumsum(hits[:-1])])
         at, doc, pos = starts_of(counts, window)
         near = seen[at + window - block + 1] > seen[at]
@@ -104,7 +104,7 @@ def compare(batches: Iterator[pa.RecordBatch], buckets: int, block: int, window:
         first = runs(key, check)
         least = np.repeat(ids[doc[first]], np.diff(np.append(first, len(key))))
         later = ids[doc] > least
-        out.positions(ids, tags, doc[later], pos[later], buckets)
+        out.positions(ids, tags, doc[later], pos[later], buckets=buckets)
         keep = ~later
         out.entries(key[keep], ids, tags, doc[keep], pos[keep], [(check[keep] >> np.uint64(32)).astype(np.uint32)], buckets)
         yield out.take(ROWS)
@@ -125,7 +125,7 @@ def remove(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> I
             words = text.split()
             if blocks:
                 edge = np.zeros(len(words) + 1, np.int64)
-                starts = unpack_positions(blocks)
+                (starts,) = unpack_positions(blocks)
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, starts + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
@@ -156,10 +156,10 @@ def dedup_substrings(docs: DataFrame, window: int = 13, block: int | None = None
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block wherever it starts: 2 * block - 1 <= window")
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
-    base = keyed(docs)
-    hits = scratch.save(exchange(base, lambda b, n: probe(b, n, block), hit, docs), "hits")
+    base, buckets = keyed(docs), fingerprint_partitions(docs)
+    hits = scratch.save(exchange(base, lambda b, n: probe(b, n, block), chosen(hit), buckets), "hits")
     around = base.join(gathered(hits).hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "blocks")
-    repeats = scratch.save(exchange(around, lambda b, n: compare(b, n, block, window), later, docs), "repeats")
+    repeats = scratch.save(exchange(around, lambda b, n: compare(b, n, block, window), chosen(later), buckets), "repeats")
     marked = base.join(gathered(repeats).hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "blocks")
     out = marked.mapInArrow(lambda b: remove(b, window, with_text), RESULT).withColumn("doc_id", own_id())
     return out if with_text else out.drop("kept_text")
