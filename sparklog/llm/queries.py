@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import chat, mixing, neardup, packing, quality, search, substrings, suffixes, urls
+from sparklog.llm import chat, langid, mixing, neardup, packing, quality, search, substrings, suffixes, urls
 from sparklog.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.identify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_bytes(read_table(spark, sf_dir, "documents"))
 
@@ -66,7 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_neardup, op2_packing, op4_suffixes, op5_chat, op6_topk, op7_urls, op8_substrings, op9_quality, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_neardup, op2_packing, op3_langid, op4_suffixes, op5_chat, op6_topk, op7_urls, op8_substrings, op9_quality, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
 
