@@ -28,8 +28,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.fingerprints import ROWS, Answer, Batch, bucket_of, exchange, gathered, joined, keyed, mix, own_id, pack_arrays, texts_of, unpack_positions
-from sparklog.llm.shared import Scratch, fingerprint_partitions
+from sparklog.llm.fingerprints import LAST, ROWS, Answer, Batch, bucket_of, exchange, gathered, joined, keyed, mix, own_id, pack_arrays, texts_of, unpack_positions
+from sparklog.llm.shared import Scratch, fingerprint_partitions, free_name, pieces, utf8
 from sparklog.llm.substrings import runs
 
 CHUNK = 4_000_000
@@ -282,17 +282,22 @@ def settle_texts(blocks: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
     return ids, tags, [(REPEAT, doc[begin], pos[begin], [np.diff(np.append(begin, len(doc))).astype(np.uint16)])]
 
 
+def covered(n: int, blocks: list[bytes], window: int) -> np.ndarray:
+    """Which of a text's bytes the windows that start at the given places cover."""
+    start, size = unpack_positions(blocks)
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + size + window - 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def remove(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch, ids, _, texts in texts_of(batches, 2, 2 * CHUNK):
         rows = []
         for text, doc, blocks in zip(texts, ids.tolist(), batch.column(3).to_pylist(), strict=True):
             removed, spans, kept = 0, 0, text
             if blocks:
-                start, size = unpack_positions(blocks)
-                edge = np.zeros(len(text) + 1, np.int32)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + size + window - 1, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                gone = covered(len(text), blocks, window)
                 removed, spans = int(gone.sum()), int(np.count_nonzero(np.diff(gone, prepend=False) & gone))
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
             rows.append((doc, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
@@ -300,6 +305,43 @@ def remove(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> I
         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.string()), pa.array(columns[5], pa.binary())], names=[f.split()[0] for f in RESULT.split(", ")])
 
 
+def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, tag, blocks): where each document has windows that start earlier too, and how many in a row."""
+    base, buckets = keyed(docs), fingerprint_partitions(docs)
+    settled = scratch.save(exchange(base, lambda b, n: send_segments(b, n, window), settle_segments, buckets), "segments")
+    asked = base.join(gathered(settled, ASKED).hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "blocks")
+    sorted_ = scratch.save(exchange(asked, lambda b, n: send_texts(b, n, window), lambda b, _: settle_texts(b, window), buckets), "windows")
+    return gathered(settled.unionByName(sorted_), REPEAT)
+
+
+def cut_texts(docs: DataFrame, window: int = 100, scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` with ``dedup_bytes`` applied to its texts; columns stay, an ``n_chars`` column follows.
+
+    Where a cut goes through a character, its other bytes go too. A text that is
+    repeated as a whole becomes empty, a null text stays null; rows stay.
+    """
+    repeats = repeated_windows(docs, window, scratch or Scratch(docs.sparkSession, "suffixes"))
+    own, tag, blocks = (free_name(docs, x) for x in ("own", "tag", "blocks"))
+    known = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(tag, F.xxhash64("text"))
+    marked = known.join(repeats.select(F.col("doc_id").alias(own), F.col("tag").alias(tag), F.col("blocks").alias(blocks)).hint("shuffle_hash"), [own, tag], "left").select(*docs.columns, blocks)
+    fields = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = fields.index("text")
+        for batch in pieces(batches, text=at, most=2 * CHUNK):
+            columns = list(batch.columns[:-1])
+            kept = []
+            for text, found, null in zip(utf8(columns[at]), batch.column(len(fields)).to_pylist(), columns[at].is_null().to_pylist(), strict=True):
+                if found:
+                    text = np.frombuffer(text, np.uint8)[~covered(len(text), found, window)].tobytes().decode("utf-8", "ignore").encode()
+                kept.append(None if null else text)
+            columns[at] = pa.array(kept, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=fields)
+
+    out = marked.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in fields else out
+
+
 def dedup_bytes(docs: DataFrame, window: int = 100, with_bytes: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """Removes bytes covered by a string of ``window`` bytes that also starts earlier.
 
@@ -315,12 +357,8 @@ def dedup_bytes(docs: DataFrame, window: int = 100, with_bytes: bool = False, sc
     the order of places. A null doc_id comes after all others. Other columns are
     ignored. An empty table gives no rows.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "suffixes")
-    base, buckets = keyed(docs), fingerprint_partitions(docs)
-    settled = scratch.save(exchange(base, lambda b, n: send_segments(b, n, window), settle_segments, buckets), "segments")
-    asked = base.join(gathered(settled, ASKED).hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "blocks")
-    sorted_ = scratch.save(exchange(asked, lambda b, n: send_texts(b, n, window), lambda b, _: settle_texts(b, window), buckets), "windows")
-    repeats = gathered(settled.unionByName(sorted_), REPEAT)
+    base = keyed(docs)
+    repeats = repeated_windows(docs, window, scratch or Scratch(docs.sparkSession, "suffixes"))
     marked = base.join(repeats.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "blocks")
     out = marked.mapInArrow(lambda b: remove(b, window, with_bytes), RESULT).withColumn("doc_id", own_id())
     return out if with_bytes else out.drop("kept")
