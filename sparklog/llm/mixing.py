@@ -103,10 +103,13 @@ def mix(docs: DataFrame, seed: int = 0, most: float = 3.0, scratch: Scratch | No
 def mixed(docs: DataFrame, seed: int = 0, most: float = 3.0, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with all its columns.
 
-    Rows are matched by doc_id, so doc_id must be unique here; a document whose
-    copies are 0 is left out, as is every document without words.
+    A document whose copies are 0 is left out, as is every document without
+    words. Rows that share doc_id and source are taken alike, as often as the
+    one taken most.
     """
-    name = free_name(docs, "copies")
-    counts = mix(docs, seed, most, scratch).where("copies > 0 and size > 0").select(F.col("doc_id").alias("mix_doc_id"), F.col("copies").alias(name))
-    joined = docs.join(counts, F.col("doc_id") == F.col("mix_doc_id")).drop("mix_doc_id")
-    return joined.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name)))).drop(name)
+    id_, source, copies = (free_name(docs, x) for x in ("mix_id", "mix_source", "mix_copies"))
+    taken = mix(docs, seed, most, scratch).where("copies > 0 and size > 0")
+    counts = taken.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source)).agg(F.max("copies").alias(copies))
+    joined = docs.join(counts.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & F.col("source").cast("string").eqNullSafe(F.col(source)))
+    worded = joined.where(word_count(F.col("text")) > 0)
+    return worded.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

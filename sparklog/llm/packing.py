@@ -80,10 +80,9 @@ class WordEncoder:
         if core.isascii():
             text = core.decode()
         else:
-            text = unicodedata.normalize("NFC", core.decode("utf-8", "replace"))
+            text = unicodedata.normalize("NFC", core.decode("utf-8", "replace")).lower()
             if not text.isalpha() or max(text) >= "ɐ":
                 return None
-            text = text.lower()
             text = "".join([self.letters[b] for b in text.encode()])
         return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
 
