@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparklog.plans.staging import Scratch, shared_folder
+
+__all__ = ["Scratch", "shared_folder"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,68 +28,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only a local master, which has
-    no other machines, may go without that setting.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="sparklog-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        _at_exit(spark, folder)
-    return folder.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _at_exit(spark: SparkSession, path: str) -> None:
-    def clean() -> None:
-        if spark.sparkContext._jsc is not None:
-            try:
-                _delete(spark, path)
-            except Exception:  # the gateway may be gone already
-                pass
-
-    atexit.register(clean)
-
-
-class Scratch:
-    """Tables written to the shared folder, which cut the lineage of what follows.
-
-    A lost executor costs only the stage at hand. Written tables stay until
-    ``drop`` or the end of the driver, because results are read lazily.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-        _at_exit(spark, self.root)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        del df
-        # Shuffle files go once the driver has collected what refers to them.
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            _delete(self.spark, self.paths.pop(id(df)))
-
-
 def stored_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's size; for files, their size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
