@@ -70,7 +70,8 @@ def shape(path: Column) -> Column:
 def templates(shapes: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds the template of each row of ``shapes`` (host, shape, n, labelled, blocked)."""
     rows = shapes.withColumn("template", F.array().cast("array<string>"))
-    for level in range(1, DEPTH + 1):
+    deepest = rows.agg(F.max(F.size("shape"))).collect()[0][0] or 0
+    for level in range(1, deepest + 1):
         here = rows.where(F.size("shape") >= level)
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
         children = here.withColumn("segment", F.get("shape", F.lit(level - 1))).groupBy("host", "template", "segment").agg(*sums)
