@@ -23,8 +23,11 @@ from sparklog.llm.shared import pieces, utf8
 #: Stands for a null doc_id, which so comes after all others.
 LAST = (1 << 63) - 1
 
-ROWS = "bucket int, doc_id long, tag long, kind int, block binary"
-POSITIONS = "doc_id long, tag long, kind int, block binary"
+#: What chunks send: entries for a bucket (kind -1), or answers for a group of documents that pass through.
+ROWS = "bucket int, kind int, group int, block binary"
+ANSWERS = "kind int, group int, block binary"
+POSITIONS = "doc_id long, tag long, block binary"
+ENTRIES = -1
 
 _UNSIGNED = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
 
@@ -76,12 +79,12 @@ def unpack_arrays(block: bytes) -> list[np.ndarray]:
     return out
 
 
-def unpack_positions(blocks: list[bytes] | None) -> list[np.ndarray]:
-    """Positions of several blocks, and what goes with each."""
-    if not blocks:
+def unpack_positions(block: bytes | None) -> list[np.ndarray]:
+    """A document's positions, and what goes with each."""
+    if block is None:
         return []
-    parts = [unpack_arrays(b) for b in blocks]
-    return [np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in parts])] + [np.concatenate([p[i] for p in parts]) for i in range(1, len(parts[0]))]
+    first, *more = unpack_arrays(block)
+    return [np.cumsum(first, dtype=np.int64), *more]
 
 
 class Batch:
@@ -98,19 +101,21 @@ class Batch:
             used, index = np.unique(doc[a:b], return_inverse=True)
             kind = np.uint16 if len(used) < 1 << 16 else np.uint32
             block = pack_arrays(np.diff(key[a:b], prepend=np.uint64(0)), ids[used].view(np.uint64), tags[used].view(np.uint64), index.astype(kind), pos[a:b].astype(np.uint32), *[m[a:b] for m in more])
-            self.rows.append((int(bucket[a]), None, None, None, block))
+            self.rows.append((int(bucket[a]), ENTRIES, None, block))
 
-    def positions(self, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: list[np.ndarray] = [], kind: int = 0, buckets: int | None = None) -> None:  # noqa: B006
-        """Gives documents positions of theirs; with ``buckets``, as rows that pass through the exchange."""
+    def answers(self, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: list[np.ndarray] = [], kind: int = 0, groups: int = 1, through: bool = False) -> None:  # noqa: B006
+        """Gives documents positions of theirs, one row per group of documents; ``through`` an exchange or not."""
         if not len(doc):
             return
-        order = np.lexsort((pos, doc))
-        doc, pos, more = doc[order], pos[order], [m[order] for m in more]
-        edges = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)).tolist()
+        group = (mix(ids.view(np.uint64) + np.uint64(1)) % np.uint64(groups)).astype(np.int64)[doc]
+        order = np.lexsort((pos, doc, group))
+        group, doc, pos, more = group[order], doc[order], pos[order], [m[order] for m in more]
+        edges = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
         for a, b in zip(edges, edges[1:] + [len(doc)], strict=True):
-            block = pack_arrays(np.diff(pos[a:b].astype(np.uint32), prepend=np.uint32(0)), *[m[a:b] for m in more])
-            row = (int(ids[doc[a]]), int(tags[doc[a]]), kind, block)
-            self.rows.append((row[0] % buckets, *row) if buckets else row)
+            used, index = np.unique(doc[a:b], return_inverse=True)
+            block = pack_arrays(ids[used].view(np.uint64), tags[used].view(np.uint64), np.diff(index, prepend=0).astype(np.uint32), pos[a:b].astype(np.uint32), *[m[a:b] for m in more])
+            row = (kind, int(group[a]), block)
+            self.rows.append((int(group[a]), *row) if through else row)
 
     def take(self, schema: str) -> pa.RecordBatch:
         kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -136,7 +141,7 @@ Answer = tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]
 
 
 def exchange(source: DataFrame, send: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]], settle: Callable[[list[bytes], int], tuple[np.ndarray, np.ndarray, list[Answer]]], buckets: int) -> DataFrame:
-    """Sends blocks of entries to buckets and settles each partition by itself; returns ``POSITIONS``.
+    """Sends blocks of entries to buckets and settles each partition by itself; returns ``ANSWERS``.
 
     ``settle`` gets the blocks and the number of buckets, and returns ids, tags
     and the answers to their positions.
@@ -145,21 +150,21 @@ def exchange(source: DataFrame, send: Callable[[Iterator[pa.RecordBatch], int],
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, out = [], Batch()
         for batch in batches:
-            for _, doc, tag, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if doc is None:
+            for _, kind, group, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == ENTRIES:
                     blocks.append(block)
                 else:
-                    out.rows.append((doc, tag, kind, block))
+                    out.rows.append((kind, group, block))
             if out.rows:
-                yield out.take(POSITIONS)
+                yield out.take(ANSWERS)
         if blocks:
             ids, tags, answers = settle(blocks, buckets)
             for kind, doc, pos, more in answers:
-                out.positions(ids, tags, doc, pos, more, kind)
-            yield out.take(POSITIONS)
+                out.answers(ids, tags, doc, pos, more, kind, buckets)
+            yield out.take(ANSWERS)
 
     sent = source.mapInArrow(lambda batches: send(batches, buckets), ROWS)
-    return sent.repartition(buckets, "bucket").mapInArrow(reduce, POSITIONS)
+    return sent.repartitionById(buckets, "bucket").mapInArrow(reduce, ANSWERS)
 
 
 def chosen(choose: Callable[..., np.ndarray]) -> Callable[[list[bytes], int], tuple[np.ndarray, np.ndarray, list[Answer]]]:
@@ -178,20 +183,41 @@ def joined(blocks: list[bytes]) -> list[np.ndarray]:
     parts = [unpack_arrays(b) for b in blocks]
     key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
     base = np.cumsum([0] + [len(p[1]) for p in parts])
-    pairs = np.empty(int(base[-1]), [("i", np.int64), ("t", np.int64)])
-    pairs["i"] = np.concatenate([p[1] for p in parts]).view(np.int64)
-    pairs["t"] = np.concatenate([p[2] for p in parts]).view(np.int64)
-    order = np.lexsort((pairs["t"], pairs["i"]))
-    ranked = pairs[order]
-    new = np.ones(len(ranked), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    place = np.empty(len(ranked), np.int64)
-    place[order] = np.cumsum(new) - 1
+    ids, tags, place = distinct(np.concatenate([p[1] for p in parts]).view(np.int64), np.concatenate([p[2] for p in parts]).view(np.int64))
     doc = place[np.concatenate([p[3].astype(np.int64) + b for p, b in zip(parts, base.tolist(), strict=False)])]
     rest = [np.concatenate([p[i] for p in parts]) for i in range(4, len(parts[0]))]
-    return [key, ranked["i"][new], ranked["t"][new], doc, *rest]
+    return [key, ids, tags, doc, *rest]
+
+
+def distinct(ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and where each given pair is among them."""
+    order = np.lexsort((tags, ids))
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[order[1:]] != ids[order[:-1]]) | (tags[order[1:]] != tags[order[:-1]])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ids[order[new]], tags[order[new]], place
+
+
+def gathered(answers: DataFrame, buckets: int, kind: int = 0) -> DataFrame:
+    """All positions of one kind, one row per document: ``POSITIONS``."""
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack_arrays(b) for batch in batches for b in batch.column(0).to_pylist()]
+        if not parts:
+            return
+        base = np.cumsum([0] + [len(p[0]) for p in parts])
+        ids, tags, place = distinct(np.concatenate([p[0] for p in parts]).view(np.int64), np.concatenate([p[1] for p in parts]).view(np.int64))
+        doc = place[np.concatenate([np.cumsum(p[2], dtype=np.int64) + b for p, b in zip(parts, base.tolist(), strict=False)])]
+        rest = [np.concatenate([p[i] for p in parts]) for i in range(3, len(parts[0]))]
+        del parts
+        order = np.lexsort((rest[0], doc))
+        doc, rest = doc[order], [r[order] for r in rest]
+        edges = np.flatnonzero(np.diff(doc, prepend=-1)).tolist()
+        out = Batch()
+        for a, b in zip(edges, edges[1:] + [len(doc)], strict=True):
+            pos, *more = (r[a:b] for r in rest)
+            out.rows.append((int(ids[doc[a]]), int(tags[doc[a]]), pack_arrays(np.diff(pos, prepend=np.uint32(0)), *more)))
+        yield out.take(POSITIONS)
 
-def gathered(positions: DataFrame, kind: int = 0) -> DataFrame:
-    """All blocks of one kind of each document."""
-    return positions.where(F.col("kind") == kind).groupBy("doc_id", "tag").agg(F.collect_list("block").alias("blocks"))
+    return answers.where(F.col("kind") == kind).select("block", "group").repartitionById(buckets, "group").mapInArrow(merge, POSITIONS)

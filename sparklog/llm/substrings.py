@@ -63,7 +63,8 @@ def probe(batches: Iterator[pa.RecordBatch], buckets: int, block: int) -> Iterat
     for _, ids, tags, texts in texts_of(batches, 2, CHUNK):
         h, counts = word_hashes(texts)
         at, doc, pos = starts_of(counts, block)
-        key = rolling(h, block, 0x9E3779B97F4A7C15)[at]
+        # 48 bits choose candidates; windows are compared on 96.
+        key = rolling(h, block, 0x9E3779B97F4A7C15)[at] & np.uint64(0xFFFFFFFFFFFF0000)
         order = np.argsort(key)
         key, doc, pos = key[order], doc[order], pos[order]
         first = runs(key)
@@ -71,7 +72,7 @@ def probe(batches: Iterator[pa.RecordBatch], buckets: int, block: int) -> Iterat
             size = np.diff(np.append(first, len(key)))
             indexed = np.logical_or.reduceat(pos % block == 0, first)
             again = np.repeat(size > 1, size)
-            out.positions(ids, tags, doc[again], pos[again], buckets=buckets)
+            out.answers(ids, tags, doc[again], pos[again], groups=buckets, through=True)
             out.entries(key[first], ids, tags, doc[first], pos[first], [indexed.astype(np.uint8)], buckets)
         yield out.take(ROWS)
 
@@ -92,8 +93,8 @@ def compare(batches: Iterator[pa.RecordBatch], buckets: int, block: int, window:
         h, counts = word_hashes(texts)
         first_word = np.cumsum(counts) - counts
         hits = np.zeros(len(h) + 1, np.int64)
-        for start, blocks in zip(first_word.tolist(), batch.column(3).to_pylist(), strict=True):
-            hits[start + unpack_positions(blocks)[0]] = 1
+        for start, block_ in zip(first_word.tolist(), batch.column(3).to_pylist(), strict=True):
+            hits[start + unpack_positions(block_)[0]] = 1
         seen = np.concatenate([[0], np.cumsum(hits[:-1])])
         at, doc, pos = starts_of(counts, window)
         near = seen[at + window - block + 1] > seen[at]
@@ -104,7 +105,7 @@ def compare(batches: Iterator[pa.RecordBatch], buckets: int, block: int, window:
         first = runs(key, check)
         least = np.repeat(ids[doc[first]], np.diff(np.append(first, len(key))))
         later = ids[doc] > least
-        out.positions(ids, tags, doc[later], pos[later], buckets=buckets)
+        out.answers(ids, tags, doc[later], pos[later], groups=buckets, through=True)
         keep = ~later
         out.entries(key[keep], ids, tags, doc[keep], pos[keep], [(check[keep] >> np.uint64(32)).astype(np.uint32)], buckets)
         yield out.take(ROWS)
@@ -121,11 +122,11 @@ def later(key: np.ndarray, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, p
 def remove(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch, ids, _, texts in texts_of(batches, 2, CHUNK):
         rows = []
-        for text, doc, blocks in zip(texts, ids.tolist(), batch.column(3).to_pylist(), strict=True):
+        for text, doc, block in zip(texts, ids.tolist(), batch.column(3).to_pylist(), strict=True):
             words = text.split()
-            if blocks:
+            if block:
                 edge = np.zeros(len(words) + 1, np.int64)
-                (starts,) = unpack_positions(blocks)
+                (starts,) = unpack_positions(block)
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, starts + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
@@ -158,8 +159,9 @@ def dedup_substrings(docs: DataFrame, window: int = 13, block: int | None = None
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     base, buckets = keyed(docs), fingerprint_partitions(docs)
     hits = scratch.save(exchange(base, lambda b, n: probe(b, n, block), chosen(hit), buckets), "hits")
-    around = base.join(gathered(hits).hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "blocks")
+    around = base.join(gathered(hits, buckets).hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "block")
     repeats = scratch.save(exchange(around, lambda b, n: compare(b, n, block, window), chosen(later), buckets), "repeats")
-    marked = base.join(gathered(repeats).hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "blocks")
+    scratch.drop(hits)
+    marked = base.join(gathered(repeats, buckets).hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "block")
     out = marked.mapInArrow(lambda b: remove(b, window, with_text), RESULT).withColumn("doc_id", own_id())
     return out if with_text else out.drop("kept_text")

@@ -28,11 +28,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.fingerprints import LAST, ROWS, Answer, Batch, bucket_of, exchange, gathered, joined, keyed, mix, own_id, pack_arrays, texts_of, unpack_positions
+from sparklog.llm.fingerprints import ENTRIES, LAST, ROWS, Answer, Batch, bucket_of, exchange, gathered, joined, keyed, mix, own_id, pack_arrays, texts_of, unpack_positions
 from sparklog.llm.shared import Scratch, fingerprint_partitions, free_name, pieces, utf8
 from sparklog.llm.substrings import runs
 
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 REPEAT, ASKED = 1, 2
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -197,13 +197,13 @@ def send_segments(batches: Iterator[pa.RecordBatch], buckets: int, window: int)
         first = runs(anchor, doc)
         size = np.diff(np.append(first, len(doc)))
         doc, pos, at, anchor = doc[first], pos[first], at[first], anchor[first]
-        key = hashes[anchor]
+        key = mix(hashes[anchor] + np.uint64(1))  # anchors have small hashes, buckets need even ones
         content = np.fromiter((digest(joined_text[a : a + n]) for a, n in zip(at.tolist(), (size + window - 1).tolist(), strict=True)), np.uint64, len(at))
         order = np.lexsort((pos, ids[doc], content, key))
         key, content, doc, pos, size = key[order], content[order], doc[order], pos[order], size[order].astype(np.uint16)
         first = runs(key, content)
         again = others(first, ids, tags, doc, pos)
-        out.positions(ids, tags, doc[again], pos[again], [size[again]], REPEAT, buckets)
+        out.answers(ids, tags, doc[again], pos[again], [size[again]], REPEAT, buckets, through=True)
         out.entries(key[first], ids, tags, doc[first], pos[first], [content[first], size[first]], buckets)
         yield out.take(ROWS)
 
@@ -229,8 +229,8 @@ def send_texts(batches: Iterator[pa.RecordBatch], buckets: int, window: int) ->
     out = Batch()
     for batch, ids, tags, texts in texts_of(batches, 2, CHUNK):
         docs, starts, sizes, where = [], [], [], []
-        for i, blocks in enumerate(batch.column(3).to_pylist()):
-            pos, size, bucket = unpack_positions(blocks)
+        for i, block in enumerate(batch.column(3).to_pylist()):
+            pos, size, bucket = unpack_positions(block)
             docs.append(np.full(len(pos), i))
             starts.append(pos)
             sizes.append(size)
@@ -243,7 +243,7 @@ def send_texts(batches: Iterator[pa.RecordBatch], buckets: int, window: int) ->
             used, index = np.unique(doc[a:b], return_inverse=True)
             head = pack_arrays(np.zeros(b - a, np.uint64), ids[used].view(np.uint64), tags[used].view(np.uint64), index.astype(np.uint32), pos[a:b].astype(np.uint32), size[a:b])
             body = b"".join([texts[d][p : p + n + window - 1] for d, p, n in zip(doc[a:b].tolist(), pos[a:b].tolist(), size[a:b].tolist(), strict=True)])
-            out.rows.append((int(bucket[a]), None, None, None, struct.pack("<I", len(head)) + head + zstandard.compress(body, 1)))
+            out.rows.append((int(bucket[a]), ENTRIES, None, struct.pack("<I", len(head)) + head + zstandard.compress(body, 1)))
         yield out.take(ROWS)
 
 
@@ -282,9 +282,9 @@ def settle_texts(blocks: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
     return ids, tags, [(REPEAT, doc[begin], pos[begin], [np.diff(np.append(begin, len(doc))).astype(np.uint16)])]
 
 
-def covered(n: int, blocks: list[bytes], window: int) -> np.ndarray:
+def covered(n: int, block: bytes, window: int) -> np.ndarray:
     """Which of a text's bytes the windows that start at the given places cover."""
-    start, size = unpack_positions(blocks)
+    start, size = unpack_positions(block)
     edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + size + window - 1, -1)
@@ -292,12 +292,12 @@ def covered(n: int, blocks: list[bytes], window: int) -> np.ndarray:
 
 
 def remove(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch, ids, _, texts in texts_of(batches, 2, 2 * CHUNK):
+    for batch, ids, _, texts in texts_of(batches, 2, 4 * CHUNK):
         rows = []
-        for text, doc, blocks in zip(texts, ids.tolist(), batch.column(3).to_pylist(), strict=True):
+        for text, doc, block in zip(texts, ids.tolist(), batch.column(3).to_pylist(), strict=True):
             removed, spans, kept = 0, 0, text
-            if blocks:
-                gone = covered(len(text), blocks, window)
+            if block:
+                gone = covered(len(text), block, window)
                 removed, spans = int(gone.sum()), int(np.count_nonzero(np.diff(gone, prepend=False) & gone))
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
             rows.append((doc, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
@@ -306,12 +306,14 @@ def remove(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> I
 
 
 def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, tag, blocks): where each document has windows that start earlier too, and how many in a row."""
+    """(doc_id, tag, block): where each document has windows that start earlier too, and how many in a row."""
     base, buckets = keyed(docs), fingerprint_partitions(docs)
     settled = scratch.save(exchange(base, lambda b, n: send_segments(b, n, window), settle_segments, buckets), "segments")
-    asked = base.join(gathered(settled, ASKED).hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "blocks")
+    asked = base.join(gathered(settled, buckets, ASKED).hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "block")
     sorted_ = scratch.save(exchange(asked, lambda b, n: send_texts(b, n, window), lambda b, _: settle_texts(b, window), buckets), "windows")
-    return gathered(settled.unionByName(sorted_), REPEAT)
+    repeats = scratch.save(gathered(settled.unionByName(sorted_), buckets, REPEAT), "repeats")
+    scratch.drop(settled, sorted_)
+    return repeats
 
 
 def cut_texts(docs: DataFrame, window: int = 100, scratch: Scratch | None = None) -> DataFrame:
@@ -321,14 +323,14 @@ def cut_texts(docs: DataFrame, window: int = 100, scratch: Scratch | None = None
     repeated as a whole becomes empty, a null text stays null; rows stay.
     """
     repeats = repeated_windows(docs, window, scratch or Scratch(docs.sparkSession, "suffixes"))
-    own, tag, blocks = (free_name(docs, x) for x in ("own", "tag", "blocks"))
+    own, tag, block = (free_name(docs, x) for x in ("own", "tag", "block"))
     known = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(tag, F.xxhash64("text"))
-    marked = known.join(repeats.select(F.col("doc_id").alias(own), F.col("tag").alias(tag), F.col("blocks").alias(blocks)).hint("shuffle_hash"), [own, tag], "left").select(*docs.columns, blocks)
+    marked = known.join(repeats.select(F.col("doc_id").alias(own), F.col("tag").alias(tag), F.col("block").alias(block)).hint("shuffle_hash"), [own, tag], "left").select(*docs.columns, block)
     fields = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = fields.index("text")
-        for batch in pieces(batches, text=at, most=2 * CHUNK):
+        for batch in pieces(batches, text=at, most=4 * CHUNK):
             columns = list(batch.columns[:-1])
             kept = []
             for text, found, null in zip(utf8(columns[at]), batch.column(len(fields)).to_pylist(), columns[at].is_null().to_pylist(), strict=True):
@@ -359,6 +361,6 @@ def dedup_bytes(docs: DataFrame, window: int = 100, with_bytes: bool = False, sc
     """
     base = keyed(docs)
     repeats = repeated_windows(docs, window, scratch or Scratch(docs.sparkSession, "suffixes"))
-    marked = base.join(repeats.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "blocks")
+    marked = base.join(repeats.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "block")
     out = marked.mapInArrow(lambda b: remove(b, window, with_bytes), RESULT).withColumn("doc_id", own_id())
     return out if with_bytes else out.drop("kept")
