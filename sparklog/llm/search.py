@@ -68,7 +68,8 @@ def topk(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id",
         # One constant, which the optimizer folds.
         flips = F.split(F.lit(",".join(str(x) for x in range(1 << SEGMENT) if x.bit_count() == radius)), ",").cast("array<int>")
         probes = active.select("q", *names, segments().alias("segment", "own")).select("q", *names, "segment", F.explode(flips).alias("flip"), "own").withColumn("value", F.col("own").bitwiseXOR(F.col("flip")))
-        hits = probes.join(index, ["segment", "value"]).select("q", "found", "size", distance.alias("distance"))
+        # Spark's estimate doesn't know how many rows a query's flips become, so it must not choose to broadcast them.
+        hits = probes.join(index.hint("merge"), ["segment", "value"]).select("q", "found", "size", distance.alias("distance"))
         pool = (hits if met is None else hits.unionByName(met.drop("reached"))).groupBy("q", "found", "size").agg(F.min("distance").alias("distance"))
         # k codes suffice: each has a member that comes before all members of later ones.
         top = pool.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
