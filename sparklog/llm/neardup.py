@@ -7,9 +7,11 @@ Jaccard index is estimated by the joint likelihood of greater, smaller and equal
 registers; pairs that may reach the threshold are confirmed on the full sets.
 
 Copies, documents with one shingle set, are one class from the start. In a
-band's bucket every class is compared with the smallest one first. Only classes
-which that leaves in different components are compared further, so a bucket's
-pairs are never spelled out, and yet no link between components is lost.
+band's bucket every class is compared with the smallest one, its head, first.
+Classes that this leaves outside their head's component are then compared with
+all classes of other components around that head: as pairs where these are few,
+else in blocks by matrix products. So a bucket's pairs are never spelled out,
+and yet no link between components is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ MISS = 1e-8
 #: How far below the threshold an estimate may be; over six standard deviations of 256 registers.
 MARGIN = 0.15
 
+#: Around one head, strays times mates up to this multiple of their sum are spelled out as pairs; beyond, blocks of this size are compared.
+SPELLED_OUT, BLOCK = 4, 1000
+
 CHUNK = 4_000_000
 
 
@@ -194,6 +199,58 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
+def compared(mates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the strays among ``mates`` (head, rep, own, stray, s, m) with other components around their head.
+
+    Strays and mates are dealt into blocks, and each pair of blocks counts its
+    intersections in one matrix product of their shingles. No pair becomes a
+    row unless it is a link, and of a stray's links to a component one is kept.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        stray = table.column("left").to_numpy().astype(bool)
+        reps, own = table.column("rep").to_numpy(), table.column("own").to_numpy()
+        sets_ = [np.cumsum(unpack_arrays(b)[0], dtype=np.uint64) for b in table.column("shingles").to_pylist()]
+        rows, columns = np.flatnonzero(stray), np.flatnonzero(~stray)
+        links: set[tuple[int, int]] = set()
+        if len(rows) and len(columns):
+            pick = lambda index: [sets_[i] for i in index.tolist()]
+            shared = np.intersect1d(np.concatenate(pick(rows)), np.concatenate(pick(columns)))
+            count = np.zeros((len(rows), len(columns)), np.float32)
+            # A slice of shingles at a time; sums of ones are exact in 32-bit floats up to 2^24.
+            for at in range(0, len(shared), 4096):
+                part = shared[at : at + 4096]
+                count += _incidence(pick(rows), part) @ _incidence(pick(columns), part).T
+            sizes = np.array([len(x) for x in sets_], np.float64)
+            union = sizes[rows][:, None] + sizes[columns][None, :] - count
+            good = (100 * count.astype(np.float64) >= percent * union) & (own[rows][:, None] != own[columns][None, :])
+            seen: set[tuple[int, int]] = set()
+            for i, j in np.argwhere(good).tolist():
+                x, y, theirs = int(reps[rows[i]]), int(reps[columns[j]]), int(own[columns[j]])
+                if (x, theirs) not in seen:
+                    seen.add((x, theirs))
+                    links.add((max(x, y), min(x, y)))
+        a, b = zip(*sorted(links), strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    own_block = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
+    left = mates.where("stray").withColumn("i", own_block("s")).withColumn("j", numbers("m")).withColumn("left", F.lit(True))
+    right = mates.withColumn("j", own_block("m")).withColumn("i", numbers("s")).withColumn("left", F.lit(False))
+    dealt = left.select("head", "i", "j", "rep", "own", "left").union(right.select("head", "i", "j", "rep", "own", "left"))
+    return dealt.join(sets.hint("merge"), "rep").groupBy("head", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _incidence(sets: list[np.ndarray], shingles: np.ndarray) -> np.ndarray:
+    """Which of the sorted ``shingles`` each set has."""
+    out = np.zeros((len(sets), len(shingles)), np.float32)
+    for row, x in zip(out, sets, strict=True):
+        at = np.searchsorted(x, shingles)
+        row[:] = x[np.minimum(at, len(x) - 1)] == shingles
+    return out
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, label) of all nodes of ``links`` (a, b): the smallest node that links lead to.
 
@@ -231,6 +288,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch:
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "neardup")
+    before = scratch.saved()
     threshold = percent / 100
     table = scratch.save(sketch_table(docs, width), "sketches")
     nodes = table.where("n > 0 and doc_id is not null")
@@ -238,7 +296,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch:
 
     bands = band_table(classes, band_rows(threshold))
     shared = bands.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("band", "head")
-    buckets = scratch.save(bands.join(shared, "band"), "buckets")
+    # Estimates of sizes know nothing of rows made in Python or by explode: no broadcast where one class becomes many rows.
+    buckets = scratch.save(bands.join(shared.hint("merge"), "band"), "buckets")
     stars = scratch.save(buckets.where("rep <> head").groupBy(F.col("rep").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("bands")), "stars")
     likely = scratch.save(plausible(stars.select("a", "b"), classes, threshold).join(stars, ["a", "b"]), "likely")
     sets = scratch.save(set_table(docs, likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), width), "sets")
@@ -259,25 +318,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch:
         links = links.union(more)
         labels = components(links, scratch, "components2")
 
-    # What is left in a bucket apart from its head's component is compared with all the other components there.
+    # What is left apart from its head's component is compared with all other components around that head.
     own = labels.select(F.col("node").alias("rep"), F.col("label").alias("own"))
     lead = labels.select(F.col("node").alias("head"), F.col("label").alias("lead"))
-    marked = buckets.join(own, "rep", "left").join(lead, "head", "left").select("band", "rep", "head", F.coalesce("own", "rep").alias("own"), F.coalesce("lead", "head").alias("lead"))
-    strays = scratch.save(marked.where("own <> lead").select("band", "rep", "own"), "strays")
-    if not strays.isEmpty():
-        theirs = marked.join(strays.select("band").distinct(), "band", "left_semi").where("rep <> head").select("band", F.col("rep").alias("b"), F.col("own").alias("o"))
-        cross = strays.withColumnRenamed("rep", "a").join(theirs, "band").where("own <> o").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    around = stars.select(F.col("a").alias("rep"), F.col("b").alias("head")).join(own, "rep", "left").join(lead, "head", "left")
+    around = scratch.save(around.select("head", "rep", F.coalesce("own", "rep").alias("own"), (F.coalesce("own", "rep") != F.coalesce("lead", "head")).alias("stray")), "around")
+    sizes = around.groupBy("head").agg(F.count_if("stray").alias("s"), F.count("*").alias("m")).where("s > 0 and m > 1")
+    small = F.col("s") * F.col("m") <= SPELLED_OUT * (F.col("s") + F.col("m"))
+    mates = scratch.save(around.join(sizes.select("head", "s", "m", small.alias("small")), "head"), "mates")
+    if not mates.isEmpty():
+        few = mates.where("small")
+        theirs = few.select("head", F.col("rep").alias("b"), F.col("own").alias("o"))
+        cross = few.where("stray").select("head", F.col("rep").alias("a"), "own").join(theirs, "head").where("own <> o").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         hopeful = scratch.save(plausible(cross, classes, threshold), "hopeful")
-        if not hopeful.isEmpty():
-            new = hopeful.select(F.col("a").alias("rep")).union(hopeful.select("b")).distinct().join(sets.select("rep"), "rep", "left_anti")
-            all_sets = sets.union(set_table(docs, new, width))
-            found = scratch.save(confirmed(hopeful, all_sets, percent), "links3")
-            if not found.isEmpty():
-                labels = components(links.union(found), scratch, "components3")
+        many = mates.where("not small")
+        wanted = hopeful.select(F.col("a").alias("rep")).union(hopeful.select("b")).union(many.select("rep")).distinct().join(sets.select("rep"), "rep", "left_anti")
+        all_sets = scratch.save(sets.union(set_table(docs, wanted, width)), "all_sets")
+        found = scratch.save(confirmed(hopeful, all_sets, percent).union(compared(many, all_sets, percent)), "links3")
+        if not found.isEmpty():
+            labels = components(links.union(found), scratch, "components3")
 
     rep = classes.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("found"))
     out = table.join(rep, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return scratch.only(scratch.save(out, "result"), before)
 
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:

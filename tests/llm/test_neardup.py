@@ -73,3 +73,23 @@ def test_bands_miss_little():
     for threshold in (0.8, 0.85, 0.9):
         r = neardup.band_rows(threshold)
         assert (1 - threshold**r) ** (neardup.REGISTERS // r) <= neardup.MISS
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_many_strays_in_blocks(spark, monkeypatch, block):
+    """Near copies that their head doesn't link to, some of which link to each other."""
+    import random
+
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 60):
+        own = list(base)
+        for p in rng.sample(range(150), 4 + k % 7):
+            own[p] = f"e{k // 4 if k % 3 else k}x{p}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 3, 85).collect()}
+    want = {i: c for i, _, c in brute(rows, 3, 85)}
+    assert got == want and 1 < len(set(want.values())) < 59
