@@ -23,6 +23,8 @@ from sparklog.llm.shared import Scratch, free_name, word_count
 
 #: Bins of the rank histogram of each source.
 BINS = 4096
+#: Sources up to which their targets are broadcast; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 10_000
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -74,6 +76,7 @@ def mix(docs: DataFrame, seed: int = 0, most: float = 3.0, scratch: Scratch | No
         return sized.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"))
     goal = targets(per_source, most)
     table = spark.createDataFrame([(s, n, float(goal[s])) for s, n in per_source], "source string, source_size long, target double")
+    table = F.broadcast(table) if len(per_source) <= MOST_BROADCAST else table
     known = sized.join(table, sized.source.eqNullSafe(table.source), "left").drop(table.source)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     chance = F.least(F.greatest((ratio - F.floor(ratio)) * F.col("odds"), F.lit(0.0)), F.lit(1 - 1e-9))
