@@ -8,8 +8,9 @@ word's label probabilities, and a document's language is the one with the most
 probability over its words.
 
 The model learns from a bounded sample: ``PER_LANGUAGE`` labelled documents of
-each of the ``LANGUAGES`` most frequent languages, cut into spans and spliced so
-that the training sequences contain switches.
+every language, of any length, cut into spans and spliced so that the training
+sequences contain switches. A span goes on in another document of its language
+where one is too short.
 """
 
 from __future__ import annotations
@@ -21,20 +22,24 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparklog.llm.fingerprints import mix
-from sparklog.llm.shared import pieces, utf8
+from sparklog.llm.shared import WORD, pieces, utf8
 
-#: Bounds of the training sample.
-PER_LANGUAGE, LANGUAGES = 250, 64
+#: Bound of the training sample of each language.
+PER_LANGUAGE = 250
 #: Sequences for training, their words, and passes over them.
 SEQUENCES, LENGTH, PASSES, RATE, DECAY = 3000, 24, 40, 0.15, 1e-4
+#: Sequences that begin with each language, at least.
+LEAST_SEQUENCES = 48
 #: Hashed weights of n-grams and of words.
 BUCKETS, LONGEST = 1 << 16, 4
-#: Words whose scores a worker keeps.
+#: Words whose scores a worker keeps, and bytes of text that it labels at a time; both for up to ``FEW`` languages, and less in proportion for more.
 CACHE_ENTRIES = 400_000
 CHUNK = 8_000_000
+FEW = 8
 
 RESULT = "doc_id long, lang_pred string, score double"
 
@@ -104,7 +109,7 @@ class Model:
                     i = fresh[w] = len(known) + len(fresh)
             order.append(i)
         table = np.concatenate([self.kept, self.scores(list(fresh))]) if fresh else self.kept
-        if len(known) + len(fresh) <= CACHE_ENTRIES:
+        if len(known) + len(fresh) <= CACHE_ENTRIES * FEW // max(len(self.labels), FEW):
             known.update(fresh)
             self.kept = table
         return np.array(order, np.int64), table
@@ -144,36 +149,43 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
 
 
 def spliced(texts: list[tuple[str, bytes]], seed: int) -> tuple[list[bytes], np.ndarray]:
-    """Training sequences of ``LENGTH`` words, half of them with a switch: words and languages."""
+    """Training sequences of ``LENGTH`` words, half of them with a switch: words and languages.
+
+    The languages take turns in beginning a sequence, so each has its share.
+    """
     rng = np.random.default_rng(seed)
     by: dict[str, list[list[bytes]]] = {}
     for lang, text in texts:
-        if len(words := text.split()) >= LENGTH:
+        if words := text.split():
             by.setdefault(lang, []).append(words)
-    if not by:
-        for lang, text in texts:
-            if words := text.split():
-                by.setdefault(lang, []).append(words * LENGTH)
     langs = sorted(by)
     words, labels = [], []
 
     def span(lang: str, n: int) -> list[bytes]:
-        own = by[lang][rng.integers(len(by[lang]))]
-        at = rng.integers(len(own) - n + 1)
-        return own[at : at + n]
+        out: list[bytes] = []
+        while len(out) < n:
+            own = by[lang][rng.integers(len(by[lang]))]
+            size = min(n - len(out), len(own))
+            at = rng.integers(len(own) - size + 1)
+            out += own[at : at + size]
+        return out
 
-    for _ in range(SEQUENCES if langs else 0):
+    for i in range(max(SEQUENCES, LEAST_SEQUENCES * len(langs)) if langs else 0):
         first = LENGTH if rng.random() < 0.5 else int(rng.integers(1, LENGTH))
-        for n in (first, LENGTH - first):
+        for lang, n in ((langs[i % len(langs)], first), (langs[rng.integers(len(langs))], LENGTH - first)):
             if n:
-                lang = langs[rng.integers(len(langs))]
                 words += span(lang, n)
                 labels += [lang] * n
     return words, np.array(labels)
 
 
 def fit(texts: list[tuple[str, bytes]], seed: int = 0) -> Model:
-    """The model of (language, text) pairs, by gradient ascent on the conditional likelihood."""
+    """The model of (language, text) pairs, by gradient ascent on the conditional likelihood.
+
+    A language without a word with a letter has nothing to learn from and is no label.
+    """
+    worded = {lang for lang, text in texts if any(map(has_letter, text.split()))}
+    texts = [(lang, text) for lang, text in texts if lang in worded]
     labels = sorted({lang for lang, _ in texts}, key=lambda s: [ord(c) for c in s])
     k = len(labels)
     model = Model(labels, np.zeros((BUCKETS, k), np.float32), np.zeros((BUCKETS, k), np.float32), np.zeros((k, k)), np.zeros(k))
@@ -181,7 +193,7 @@ def fit(texts: list[tuple[str, bytes]], seed: int = 0) -> Model:
     if not words or k < 2:
         return model
     names = {x: i for i, x in enumerate(labels)}
-    truth = np.eye(k)[[names[x] for x in said.tolist()]]
+    truth = np.eye(k, dtype=np.float32)[[names[x] for x in said.tolist()]]
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(words))}
     token = np.array([vocabulary[w] for w in words])
     distinct = [w.lower() for w in vocabulary]
@@ -192,7 +204,7 @@ def fit(texts: list[tuple[str, bytes]], seed: int = 0) -> Model:
     lengths = np.full(len(words) // LENGTH, LENGTH)
     moments = {name: [np.zeros_like(getattr(model, name), np.float64), np.zeros_like(getattr(model, name), np.float64)] for name in ("grams", "lexicon", "transitions", "start")}
     pairs = truth.reshape(-1, LENGTH, k)
-    seen = np.einsum("sti,stj->ij", pairs[:, :-1], pairs[:, 1:])
+    seen = sum((pairs[:, t].T.astype(np.float64) @ pairs[:, t + 1] for t in range(LENGTH - 1)), np.zeros((k, k)))
     for turn in range(1, PASSES + 1):
         scores = np.stack([np.bincount(index, model.grams[bucket, j], len(distinct)) for j in range(k)], axis=1) + model.lexicon[entry] * lettered[:, None]
         emitted = scores[token]
@@ -233,8 +245,9 @@ def expected_moves(scores: np.ndarray, model: Model, lengths: np.ndarray) -> np.
         beta[:, t] = back / back.sum(axis=1, keepdims=True)
     total = np.zeros((k, k))
     for t in range(n - 1):
-        both = alpha[:, t, :, None] * move * (potential[:, t + 1] * beta[:, t + 1])[:, None, :]
-        total += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        after = potential[:, t + 1] * beta[:, t + 1]
+        weight = ((alpha[:, t] @ move) * after).sum(axis=1, keepdims=True)
+        total += move * ((alpha[:, t] / weight).T @ after)
     return total
 
 
@@ -270,16 +283,19 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 0)
     """Fits a model to a sample of ``labelled`` (doc_id, text, lang).
 
     Rows without text or lang are left out. About ``per_language`` documents of
-    each language are drawn by a hash of doc_id; the driver holds twice as many
-    at most.
+    each language are drawn by a hash of doc_id, one at least; the driver holds
+    twice as many at most. What the driver needs grows with the number of
+    languages.
     """
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    chance = F.lit(0.0)
-    for r in counts:
-        chance = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(chance)
-    draw = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))) < chance
-    sample = rows.where(draw).select("doc_id", "lang", "text").limit(2 * per_language * max(len(counts), 1)).collect()
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", place.alias("place"))
+    # Documents without a word have nothing to learn from.
+    rows = rows.where(F.col("text").rlike(WORD))
+    counts = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("chance"), F.min("place").alias("least"))
+    # One row per language; texts are not dealt by it.
+    drawn = rows.join(F.broadcast(counts), "lang").where((F.col("place") < F.col("chance")) | (F.col("place") == F.col("least")))
+    own = W.partitionBy("lang").orderBy("place", "doc_id", "text")
+    sample = drawn.withColumn("i", F.row_number().over(own)).where(F.col("i") <= 2 * per_language).select("doc_id", "lang", "text").collect()
     return fit([(r["lang"], r["text"].encode()) for r in sorted(sample, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))], seed)
 
 
@@ -302,7 +318,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         if stamp not in _models:
             _models.clear()
             _models[stamp] = Model(*weights)
-        for batch in pieces(batches, most=CHUNK):
+        for batch in pieces(batches, most=CHUNK * FEW // max(len(model.labels), FEW)):
             found = label_texts(_models[stamp], utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 

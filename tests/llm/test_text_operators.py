@@ -75,6 +75,29 @@ def test_language_held_out(spark):
     assert sorted(map(str, langid.identify(docs, langid.train(train)).collect())) == sorted(map(str, langid.identify(docs.repartition(5), model).collect()))
 
 
+def test_language_of_short_texts(spark):
+    """Languages of short documents only, one of them without spaces, are learned beside one of long documents."""
+    rng = random.Random(8)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    text = {"aa": lambda: " ".join(pick("abcdefg", 6) for _ in range(60)), "bb": lambda: " ".join(pick("stuvwxyz", 6) for _ in range(8)), "zh": lambda: pick("的一是不了人我在有他这为之大来以个中上们", 20)}
+    rows = [(i, text[lang](), lang) for i, lang in enumerate(["aa", "bb", "zh"] * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    got = langid.identify(docs, model).join(docs, "doc_id").where(langid.held_out(F.col("doc_id"))).collect()
+    assert {r.lang for r in got} == set(text) and all(r.lang == r.lang_pred for r in got)
+
+
+def test_all_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PASSES", 6)
+    names = [f"l{i:02}" for i in range(70)]
+    words = {lang: [chr(0x4E00 + 40 * i + j) * 3 for j in range(8)] for i, lang in enumerate(names)}
+    rows = [(100 * i + j, " ".join(words[lang]), lang) for i, lang in enumerate(names) for j in range(1 + (i < 64))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.labels == names
+    assert all(r.lang == r.lang_pred for r in langid.identify(docs, model).join(docs, "doc_id").collect())
+
+
 def test_forward_backward_sums_over_all_paths():
     import itertools
 
