@@ -1,10 +1,10 @@
 """URL filters: explicit rules, and for the rest a tree of path templates.
 
 The pages that a rule decides are the labels. Per host, paths form a tree of
-segments. Level by level, segments that vary (numbers, hex, mixed names, rare
-ones among many) become wildcards, and a branch stays apart from its siblings
-only if its share of blocked labels differs from theirs beyond chance; all
-other branches merge into the wildcard. A template is rejected by its smoothed
+segments. Level by level, segments that vary by their form (numbers, hex, mixed
+names) become wildcards, and a branch stays apart from its siblings only if its
+share of blocked labels differs from theirs beyond chance, however many pages or
+siblings it has; all other branches merge into the wildcard. A template is rejected by its smoothed
 purity: the blocked share of its labels, drawn towards its host's share, which
 is drawn towards that of all pages.
 
@@ -23,10 +23,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Levels of the tree; deeper segments share one last level.
 DEPTH = 6
-#: Children up to which every literal segment may stay, and the share that keeps one beyond.
-FANOUT, LEAST_SHARE = 32, 0.05
-#: Standard errors from which a branch's blocked share counts as its own.
-APART = 1.96
+#: Standard errors from which a branch's blocked share counts as its own, and how many
+#: branches may be compared at that; for more, the bound rises so that no more differ by chance.
+APART, FANOUT = 1.96, 32
+#: Only in the SQL: the share of pages that keeps a branch apart where children are more than ``FANOUT``.
+LEAST_SHARE = 0.05
 #: Labels that a prior weighs, and the purity above which a template is blocked.
 SMOOTHING, PURITY = 4.0, 0.5
 
@@ -73,16 +74,18 @@ def templates(shapes: DataFrame, scratch: Scratch) -> DataFrame:
     deepest = rows.agg(F.max(F.size("shape"))).collect()[0][0] or 0
     for level in range(1, deepest + 1):
         here = rows.where(F.size("shape") >= level)
-        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+        sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
         children = here.withColumn("segment", F.get("shape", F.lit(level - 1))).groupBy("host", "template", "segment").agg(*sums)
-        parents = children.groupBy("host", "template").agg(F.count("*").alias("children"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
+        literal = ~F.col("segment").startswith("{")
+        parents = children.groupBy("host", "template").agg(F.sum((literal & (F.col("labelled") > 0)).cast("long")).alias("compared"), *[F.sum(c).alias(f"all_{c}") for c in ("labelled", "blocked")])
         # The branch against its siblings: a two-sample test of blocked shares.
         others, bad = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
         pooled = F.try_divide(F.col("all_blocked"), F.col("all_labelled"))
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), others)))
-        differs = F.when((F.col("labelled") > 0) & (others > 0) & (pooled > 0) & (pooled < 1), F.abs(F.try_divide(F.col("blocked"), F.col("labelled")) - F.try_divide(bad, others)) > F.lit(APART) * error).otherwise(F.lit(False))
-        common = (F.col("children") <= FANOUT) | (F.col("n") >= F.lit(LEAST_SHARE) * F.col("all_n"))
-        joined = children.join(parents, ["host", "template"]).select(F.col("host").alias("c_host"), F.col("template").alias("c_template"), F.col("segment").alias("c_segment"), F.when(differs & common & ~F.col("segment").startswith("{"), F.col("segment")).otherwise(F.lit("*")).alias("name"))
+        # The tail of the normal distribution falls with exp(-bound ** 2 / 2).
+        bound = F.sqrt(F.lit(APART**2) + 2 * F.log(F.greatest(F.col("compared") / F.lit(float(FANOUT)), F.lit(1.0))))
+        differs = F.when((F.col("labelled") > 0) & (others > 0) & (pooled > 0) & (pooled < 1), F.abs(F.try_divide(F.col("blocked"), F.col("labelled")) - F.try_divide(bad, others)) > bound * error).otherwise(F.lit(False))
+        joined = children.join(parents, ["host", "template"]).select(F.col("host").alias("c_host"), F.col("template").alias("c_template"), F.col("segment").alias("c_segment"), F.when(differs & literal, F.col("segment")).otherwise(F.lit("*")).alias("name"))
         match = (F.col("host") == F.col("c_host")) & (F.col("template") == F.col("c_template")) & (F.get("shape", F.lit(level - 1)) == F.col("c_segment"))
         rows = rows.join(joined, match, "left").withColumn("template", F.when(F.col("name").isNotNull(), F.concat("template", F.array("name"))).otherwise(F.col("template"))).drop("c_host", "c_template", "c_segment", "name")
         rows = scratch.save(rows, f"level{level}")

@@ -208,6 +208,16 @@ def test_url_branches_split_by_purity(spark):
     assert got[4].rule is None and got[4].verdict == "allow" and got[4].template == "/news/*"
 
 
+def test_url_branch_of_many_stays_apart(spark):
+    """A blocked branch with 2 % of a host's pages stays apart from 49 siblings, and these from it."""
+    names = ["ads", *(a + b for a in "bcdefgh" for b in "stuvwxy")]
+    pages = spark.createDataFrame([(100 * k + i, f"http://h.example.com/{name}/{i}") for k, name in enumerate(names) for i in range(40)], "page_id long, url string")
+    rules = [("block" if name == "ads" else "allow", f"example.com/{name}/1") for name in names]
+    got = {r.page_id: r for r in urls.judge_urls(pages, rules).collect()}
+    assert len(names) == 50 and got[3].rule is None and (got[3].template, got[3].verdict) == ("/ads/*", "block")
+    assert {(got[100 * k + 3].template, got[100 * k + 3].verdict) for k in range(1, 50)} == {("/*/*", "allow")}
+
+
 def test_topk_against_all_pairs(spark):
     rng = random.Random(3)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(96)]) for i in range(150)]
