@@ -35,6 +35,8 @@ MOST_CAPITALS, CAPITALS_FROM = 0.7, 20
 MOST_OF_ONE_WORD, ONE_WORD_FROM = 0.3, 10
 #: A navigation line has at most so many words, and this share of them from the list.
 NAVIGATION_WORDS, NAVIGATION_SHARE = 12, 0.5
+#: Share of a line's words from which the phrases of notices in it make it one.
+NOTICE_SHARE = 0.1
 
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -57,7 +59,8 @@ def line_fails(line: bytes, words: list[bytes]) -> str | None:
             return "punctuation"
     if n <= NAVIGATION_WORDS and sum(w.strip(b".,:;|>-").lower() in NAVIGATION for w in words) >= NAVIGATION_SHARE * n:
         return "navigation"
-    if BOILERPLATE.search(line):
+    notices = BOILERPLATE.findall(line)
+    if notices and sum(len(x.split()) for x in notices) >= NOTICE_SHARE * n:
         return "boilerplate"
     if n >= ONE_WORD_FROM and max(Counter(words).values()) > MOST_OF_ONE_WORD * n:
         return "boilerplate"

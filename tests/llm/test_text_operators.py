@@ -55,6 +55,18 @@ def test_quality_rejects_what_loses_too_much(spark):
     assert out.columns == docs.columns and r.text == good and r.n_chars == len(good)
 
 
+def test_quality_keeps_long_lines_with_a_notice(spark):
+    """One phrase of a notice fails a short line, not a long paragraph or a document in one line."""
+    fails = lambda s: quality.line_fails(s.encode(), s.encode().split())
+    assert fails("Click here to see the whole list of results") == "boilerplate"
+    text = " ".join(prose(3, 400).split()).replace(" ", " read more ", 1)
+    assert len(text.split("\n")) == 1 and fails(text) is None
+    docs = spark.createDataFrame([(1, text, 5)], "doc_id long, text string, n_chars int")
+    (r,) = quality.quality(docs).collect()
+    assert r.kept and (r.n_lines_failed, r.chars_failed) == (0, 0)
+    assert [r.text for r in quality.clean(docs).collect()] == [text]
+
+
 def test_language_held_out(spark):
     rng = random.Random(5)
     syllables = {"aa": ["ber", "sch", "keit", "ung"], "bb": ["tion", "eau", "ment", "que"]}
