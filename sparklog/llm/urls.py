@@ -21,7 +21,9 @@ from sparklog.llm.shared import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Levels of the tree; deeper segments share one last level.
+#: Levels of the tree for degenerate paths; their deeper segments share the class ``{deep}``.
+DEEPEST = 64
+#: Only in the SQL: its levels.
 DEPTH = 6
 #: Standard errors from which a branch's blocked share counts as its own, and how many
 #: branches may be compared at that; for more, the bound rises so that no more differ by chance.
@@ -65,7 +67,7 @@ def shape(path: Column) -> Column:
         .otherwise(s)
     )
     parts = F.transform(F.split(F.substr(path, F.lit(2)), "/", -1), kind)
-    return F.when(F.size(parts) <= DEPTH, parts).otherwise(F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("{rest}"))))
+    return F.when(F.size(parts) <= DEEPEST, parts).otherwise(F.concat(F.slice(parts, 1, DEEPEST - 1), F.array(F.lit("{deep}"))))
 
 
 def templates(shapes: DataFrame, scratch: Scratch) -> DataFrame:

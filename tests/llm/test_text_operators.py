@@ -220,6 +220,16 @@ def test_url_branches_split_by_purity(spark):
     assert got[4].rule is None and got[4].verdict == "allow" and got[4].template == "/news/*"
 
 
+def test_url_branches_split_at_depth(spark):
+    """Branches that differ in their sixth segment stay apart."""
+    at = lambda i: "a/b/c/d/e/" + ("ads" if i % 2 else "news")
+    pages = spark.createDataFrame([(i, f"http://h.example.com/{at(i)}/{i}") for i in range(200)], "page_id long, url string")
+    rules = [("block", f"example.com/{at(1)}/1"), ("allow", f"example.com/{at(0)}/1")]
+    got = {r.page_id: r for r in urls.judge_urls(pages, rules).collect()}
+    assert got[3].rule is None and got[3].verdict == "block" and got[3].template.endswith("/ads/*")
+    assert got[4].rule is None and got[4].verdict == "allow" and got[4].template.endswith("/news/*")
+
+
 def test_url_branch_of_many_stays_apart(spark):
     """A blocked branch with 2 % of a host's pages stays apart from 49 siblings, and these from it."""
     names = ["ads", *(a + b for a in "bcdefgh" for b in "stuvwxy")]
