@@ -12,7 +12,7 @@ windows are the maximal exact repeats.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklog.llm.fingerprints import ROWS, Batch, chosen, exchange, gathered, keyed, own_id, rolling, texts_of, unpack_positions
-from sparklog.llm.shared import Scratch, fingerprint_partitions
+from sparklog.llm.shared import Scratch, fingerprint_partitions, stored_bytes
 
 #: Bytes of text whose repeats are settled before anything is sent.
 CHUNK = 8_000_000
@@ -57,33 +57,47 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def probe(batches: Iterator[pa.RecordBatch], buckets: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Sends each rolling run of ``block`` words; what comes twice in the chunk is a hit already."""
-    out = Batch()
+def key_bits(stored: int) -> int:
+    """Bits of the keys that choose candidates: at most one probe in some thousand of a table of ``stored`` bytes hits by chance.
+
+    A wrong hit costs the comparison of its windows, no result.
+    """
+    return min(63, max(32, stored.bit_length() + 8))
+
+
+def probe(batches: Iterator[pa.RecordBatch], buckets: int, block: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Sends each rolling run of ``block`` words; what comes twice in the chunk is a hit already.
+
+    Of equal runs one is sent, an indexed one if there is any, so that an
+    entry's place tells whether it is in the index.
+    """
+    out, high = Batch(), np.uint64((1 << 64) - (1 << 64 - bits))
     for _, ids, tags, texts in texts_of(batches, 2, CHUNK):
         h, counts = word_hashes(texts)
         at, doc, pos = starts_of(counts, block)
-        # 48 bits choose candidates; windows are compared on 96.
-        key = rolling(h, block, 0x9E3779B97F4A7C15)[at] & np.uint64(0xFFFFFFFFFFFF0000)
-        order = np.argsort(key)
+        key = rolling(h, block, 0x9E3779B97F4A7C15)[at] & high
+        order = np.argsort(key | (pos % block > 0))
         key, doc, pos = key[order], doc[order], pos[order]
         first = runs(key)
         if len(first):
             size = np.diff(np.append(first, len(key)))
-            indexed = np.logical_or.reduceat(pos % block == 0, first)
             again = np.repeat(size > 1, size)
             out.answers(ids, tags, doc[again], pos[again], groups=buckets, through=True)
-            out.entries(key[first], ids, tags, doc[first], pos[first], [indexed.astype(np.uint8)], buckets)
+            out.entries(key[first], ids, tags, doc[first], pos[first], [], buckets)
         yield out.take(ROWS)
 
 
-def hit(key: np.ndarray, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, pos: np.ndarray, indexed: np.ndarray) -> np.ndarray:
+def hit(block: int) -> Callable[..., np.ndarray]:
     """Entries of runs that come more than once, once at least as an indexed block."""
-    order = np.argsort(key)
-    first = runs(key[order])
-    size = np.diff(np.append(first, len(order)))
-    good = (size > 1) & np.logical_or.reduceat(indexed[order] > 0, first)
-    return order[np.repeat(good, size)]
+
+    def choose(key: np.ndarray, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        order = np.argsort(key)
+        first = runs(key[order])
+        size = np.diff(np.append(first, len(order)))
+        good = (size > 1) & np.logical_or.reduceat(pos[order] % block == 0, first)
+        return order[np.repeat(good, size)]
+
+    return choose
 
 
 def compare(batches: Iterator[pa.RecordBatch], buckets: int, block: int, window: int) -> Iterator[pa.RecordBatch]:
@@ -158,7 +172,8 @@ def dedup_substrings(docs: DataFrame, window: int = 13, block: int | None = None
         raise ValueError("a window must hold a whole block wherever it starts: 2 * block - 1 <= window")
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     base, buckets = keyed(docs), fingerprint_partitions(docs)
-    hits = scratch.save(exchange(base, lambda b, n: probe(b, n, block), chosen(hit), buckets), "hits")
+    bits = key_bits(stored_bytes(docs))
+    hits = scratch.save(exchange(base, lambda b, n: probe(b, n, block, bits), chosen(hit(block)), buckets), "hits")
     around = base.join(gathered(hits, buckets).hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "block")
     repeats = scratch.save(exchange(around, lambda b, n: compare(b, n, block, window), chosen(later), buckets), "repeats")
     scratch.drop(hits)
