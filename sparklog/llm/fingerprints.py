@@ -93,15 +93,15 @@ class Batch:
     def __init__(self) -> None:
         self.rows: list[tuple] = []
 
-    def entries(self, key: np.ndarray, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: list[np.ndarray], buckets: int) -> None:
-        """Sends entries, sorted by key; doc indexes ids and tags."""
+    def entries(self, key: np.ndarray, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: list[np.ndarray], buckets: int, mark: bytes = b"") -> None:
+        """Sends entries, sorted by key; doc indexes ids and tags. ``mark`` precedes their blocks."""
         bucket = bucket_of(key, buckets)
         edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
         for a, b in zip(edges, edges[1:] + [len(key)], strict=True):
             used, index = np.unique(doc[a:b], return_inverse=True)
             kind = np.uint16 if len(used) < 1 << 16 else np.uint32
             block = pack_arrays(np.diff(key[a:b], prepend=np.uint64(0)), ids[used].view(np.uint64), tags[used].view(np.uint64), index.astype(kind), pos[a:b].astype(np.uint32), *[m[a:b] for m in more])
-            self.rows.append((int(bucket[a]), ENTRIES, None, block))
+            self.rows.append((int(bucket[a]), ENTRIES, None, mark + block))
 
     def answers(self, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: list[np.ndarray] = [], kind: int = 0, groups: int = 1, through: bool = False) -> None:  # noqa: B006
         """Gives documents positions of theirs, one row per group of documents; ``through`` an exchange or not."""

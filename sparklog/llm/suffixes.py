@@ -10,6 +10,11 @@ an anchor, the smallest hash among their inner strings, which equal windows
 share. The windows of one anchor in a row form a segment. Equal segments settle
 each other; the different segments of one anchor go to one bucket, whose suffix
 array brings equal windows next to each other.
+
+A string that many unlike texts share, such as a footer, would bring all their
+segments to one bucket. Where an anchor has many different segments, in a chunk
+or on the whole, its windows are dealt one by one instead, by their own hashes,
+so that only equal windows meet.
 """
 
 from __future__ import annotations
@@ -34,6 +39,12 @@ from sparklog.llm.substrings import runs
 
 CHUNK = 2_000_000
 REPEAT, ASKED = 1, 2
+#: Different segments of one anchor, in a chunk and in all, beyond which its windows are dealt one by one.
+HOT_IN_CHUNK, HOT = 16, 4096
+#: Stands for the bucket of windows that are dealt one by one.
+DEALT = (1 << 32) - 1
+#: What blocks of the second exchange begin with.
+TEXTS, WINDOWS = b"T", b"W"
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -204,28 +215,99 @@ def send_segments(batches: Iterator[pa.RecordBatch], buckets: int, window: int)
         first = runs(key, content)
         again = others(first, ids, tags, doc, pos)
         out.answers(ids, tags, doc[again], pos[again], [size[again]], REPEAT, buckets, through=True)
-        out.entries(key[first], ids, tags, doc[first], pos[first], [content[first], size[first]], buckets)
+        anchor = runs(key[first])
+        kinds = np.diff(np.append(anchor, len(first)))
+        hot = first[np.repeat(kinds > HOT_IN_CHUNK, kinds)]
+        out.answers(ids, tags, doc[hot], pos[hot], [size[hot], np.full(len(hot), DEALT, np.uint32)], ASKED, buckets, through=True)
+        # Of a hot anchor one entry without windows is sent, which tells the bucket that it is hot.
+        size[first[anchor[kinds > HOT_IN_CHUNK]]] = 0
+        sent = first[np.repeat(kinds <= HOT_IN_CHUNK, kinds) | (size[first] == 0)]
+        out.entries(key[sent], ids, tags, doc[sent], pos[sent], [content[sent], size[sent]], buckets)
         yield out.take(ROWS)
 
 
 def settle_segments(blocks: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, list[Answer]]:
-    """Of equal segments all but the first are repeats; anchors with different segments ask for these."""
+    """Of equal segments all but the first are repeats; anchors with different segments ask for these, or for their windows."""
     key, ids, tags, doc, pos, content, size = joined(blocks)
-    order = np.lexsort((pos, ids[doc], content, key))
+    hot = np.unique(key[size == 0])
+    real = np.flatnonzero(size > 0)
+    order = real[np.lexsort((pos[real], ids[doc[real]], content[real], key[real]))]
     key, content, doc, pos, size = key[order], content[order], doc[order], pos[order].astype(np.int64), size[order]
     first = runs(key, content)
     again = others(first, ids, tags, doc, pos)
     anchor = runs(key[first])
     kinds = np.diff(np.append(anchor, len(first)))
-    asked = first[np.repeat(kinds > 1, kinds)]
+    dealt = np.isin(key[first[anchor]], hot) | (kinds > HOT)
+    asked = np.repeat((kinds > 1) | dealt, kinds)
+    where = np.where(np.repeat(dealt, kinds), DEALT, bucket_of(key[first], buckets)).astype(np.uint32)
     return ids, tags, [
         (REPEAT, doc[again], pos[again], [size[again]]),
-        (ASKED, doc[asked], pos[asked], [size[asked], bucket_of(key[asked], buckets).astype(np.uint32)]),
+        (ASKED, doc[first[asked]], pos[first[asked]], [size[first[asked]], where[asked]]),
     ]
 
 
+def window_hashes(text: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window that starts at ``at``."""
+    words = np.ndarray(len(text) - 7, "<u8", text.data, strides=(1,))
+    out = []
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        value = np.zeros(len(at), np.uint64)
+        for i, offset in enumerate([*range(0, window - 8, 8), window - 8]):
+            value += words[at + offset] * np.uint64(seed * (2 * i + 1) & (1 << 64) - 1 | 1)
+            value = mix(value ^ np.uint64(seed))
+        out.append(value)
+    return out[0], out[1]
+
+
+def stretches(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring windows as one stretch: its document, start and number of windows."""
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    begin = np.ones(len(doc), bool)
+    begin[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
+    begin = np.flatnonzero(begin)
+    return doc[begin], pos[begin], np.diff(np.append(begin, len(doc))).astype(np.uint32)
+
+
+def send_windows(out: Batch, ids: np.ndarray, tags: np.ndarray, texts: list[bytes], doc: np.ndarray, pos: np.ndarray, size: np.ndarray, window: int, buckets: int) -> None:
+    """Sends the windows of hot anchors by their hashes; those that the chunk has before are repeats already."""
+    body = b"".join(texts)
+    base = np.cumsum([0] + [len(t) for t in texts])
+    own = np.repeat(np.arange(len(size)), size)
+    doc, pos = doc[own], pos[own] + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+    key, check = window_hashes(np.frombuffer(body, np.uint8), base[doc] + pos, window)
+    order = np.lexsort((pos, ids[doc], check, key))
+    key, check, doc, pos = key[order], check[order], doc[order], pos[order]
+    first = runs(key, check)
+    again = others(first, ids, tags, doc, pos)
+    d, p, n = stretches(doc[again], pos[again])
+    out.answers(ids, tags, d, p, [n], REPEAT, buckets, through=True)
+    out.entries(key[first], ids, tags, doc[first], pos[first], [check[first]], buckets, WINDOWS)
+
+
+def settle_windows(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[Answer]]:
+    """Of equal windows all but the first are repeats."""
+    key, ids, tags, doc, pos, check = joined(blocks)
+    pos = pos.astype(np.int64)
+    order = np.lexsort((pos, ids[doc], check, key))
+    doc, pos = doc[order], pos[order]
+    again = others(runs(key[order], check[order]), ids, tags, doc, pos)
+    d, p, n = stretches(doc[again], pos[again])
+    return ids, tags, [(REPEAT, d, p, [n])]
+
+
+def settle_asked(blocks: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, list[Answer]]:
+    texts, windows = ([b[1:] for b in blocks if b[:1] == mark] for mark in (TEXTS, WINDOWS))
+    if not texts or not windows:
+        return settle_texts(texts, window) if texts else settle_windows(windows)
+    ids, tags, answers = settle_texts(texts, window)
+    more_ids, more_tags, more = settle_windows(windows)
+    answers += [(kind, doc + len(ids), pos, rest) for kind, doc, pos, rest in more]
+    return np.concatenate([ids, more_ids]), np.concatenate([tags, more_tags]), answers
+
+
 def send_texts(batches: Iterator[pa.RecordBatch], buckets: int, window: int) -> Iterator[pa.RecordBatch]:
-    """Sends the text of the segments that were asked for."""
+    """Sends the text of the segments that were asked for, or their windows."""
     out = Batch()
     for batch, ids, tags, texts in texts_of(batches, 2, CHUNK):
         docs, starts, sizes, where = [], [], [], []
@@ -236,14 +318,18 @@ def send_texts(batches: Iterator[pa.RecordBatch], buckets: int, window: int) ->
             sizes.append(size)
             where.append(bucket)
         doc, pos, size, bucket = (np.concatenate(x) for x in (docs, starts, sizes, where))
+        dealt = bucket == DEALT
+        if dealt.any():
+            send_windows(out, ids, tags, texts, doc[dealt], pos[dealt], size[dealt].astype(np.int64), window, buckets)
+        doc, pos, size, bucket = doc[~dealt], pos[~dealt], size[~dealt], bucket[~dealt]
         order = np.lexsort((pos, doc, bucket))
         doc, pos, size, bucket = doc[order], pos[order], size[order], bucket[order]
         edges = runs(bucket).tolist()
-        for a, b in zip(edges, edges[1:] + [len(doc)], strict=True):
+        for a, b in zip(edges, [*edges, len(doc)][1:], strict=True):
             used, index = np.unique(doc[a:b], return_inverse=True)
             head = pack_arrays(np.zeros(b - a, np.uint64), ids[used].view(np.uint64), tags[used].view(np.uint64), index.astype(np.uint32), pos[a:b].astype(np.uint32), size[a:b])
             body = b"".join([texts[d][p : p + n + window - 1] for d, p, n in zip(doc[a:b].tolist(), pos[a:b].tolist(), size[a:b].tolist(), strict=True)])
-            out.rows.append((int(bucket[a]), ENTRIES, None, struct.pack("<I", len(head)) + head + zstandard.compress(body, 1)))
+            out.rows.append((int(bucket[a]), ENTRIES, None, TEXTS + struct.pack("<I", len(head)) + head + zstandard.compress(body, 1)))
         yield out.take(ROWS)
 
 
@@ -273,13 +359,8 @@ def settle_texts(blocks: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
     ranked = np.lexsort((pos[order], ids[doc[order]], run))
     index = order[ranked]
     index = index[others(runs(run[ranked]), ids, tags, doc[index], pos[index])]
-    index = index[np.lexsort((pos[index], doc[index]))]
-    doc, pos = doc[index], pos[index]
-    # Neighbouring windows as one stretch.
-    begin = np.ones(len(doc), bool)
-    begin[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
-    begin = np.flatnonzero(begin)
-    return ids, tags, [(REPEAT, doc[begin], pos[begin], [np.diff(np.append(begin, len(doc))).astype(np.uint16)])]
+    d, p, n = stretches(doc[index], pos[index])
+    return ids, tags, [(REPEAT, d, p, [n])]
 
 
 def covered(n: int, block: bytes, window: int) -> np.ndarray:
@@ -310,7 +391,7 @@ def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFram
     base, buckets = keyed(docs), fingerprint_partitions(docs)
     settled = scratch.save(exchange(base, lambda b, n: send_segments(b, n, window), settle_segments, buckets), "segments")
     asked = base.join(gathered(settled, buckets, ASKED).hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "block")
-    sorted_ = scratch.save(exchange(asked, lambda b, n: send_texts(b, n, window), lambda b, _: settle_texts(b, window), buckets), "windows")
+    sorted_ = scratch.save(exchange(asked, lambda b, n: send_texts(b, n, window), lambda b, _: settle_asked(b, window), buckets), "windows")
     repeats = scratch.save(gathered(settled.unionByName(sorted_), buckets, REPEAT), "repeats")
     scratch.drop(settled, sorted_)
     return repeats
