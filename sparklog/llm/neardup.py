@@ -4,7 +4,8 @@ A register of a document's sketch is a truncated, exponentially spaced minimum
 over its shingles, so sketches merge by maximum and similar sets agree in many
 registers. Bands of registers bring candidates together; of each pair the
 Jaccard index is estimated by the joint likelihood of greater, smaller and equal
-registers; pairs that may reach the threshold are confirmed on the full sets.
+registers; pairs that may reach the threshold are confirmed on the full sets. Every link has
+passed both, however it was met.
 
 Copies, documents with one shingle set, are one class from the start. In a
 band's bucket every class is compared with the smallest one, its head, first.
@@ -48,7 +49,7 @@ def band_rows(threshold: float, registers: int = REGISTERS) -> int:
 
 
 def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of 48 bits, sorted by text and hash; and the text of each.
+    """Distinct shingle hashes of 64 bits, sorted by text and hash; and the text of each.
 
     Texts are lower-cased in A-Z. A text with fewer words than ``width`` has one
     shingle, its whole sequence; a text without words has none.
@@ -63,7 +64,7 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     at, doc, _ = starts_of(counts, width)
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    key = rolling(np.concatenate(parts), width, 0x9E3779B97F4A7C15)[at] >> np.uint64(16)
+    key = rolling(np.concatenate(parts), width, 0x9E3779B97F4A7C15)[at]
     order = np.lexsort((key, doc))
     key, doc = key[order], doc[order]
     first = runs(key, doc)
@@ -199,7 +200,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def compared(mates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def compared(mates: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of the strays among ``mates`` (head, rep, own, stray, s, m) with other components around their head.
 
     Strays and mates are dealt into blocks, and each pair of blocks counts its
@@ -211,6 +212,7 @@ def compared(mates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         stray = table.column("left").to_numpy().astype(bool)
         reps, own = table.column("rep").to_numpy(), table.column("own").to_numpy()
         sets_ = [np.cumsum(unpack_arrays(b)[0], dtype=np.uint64) for b in table.column("shingles").to_pylist()]
+        registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         rows, columns = np.flatnonzero(stray), np.flatnonzero(~stray)
         links: set[tuple[int, int]] = set()
         if len(rows) and len(columns):
@@ -225,7 +227,10 @@ def compared(mates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             union = sizes[rows][:, None] + sizes[columns][None, :] - count
             good = (100 * count.astype(np.float64) >= percent * union) & (own[rows][:, None] != own[columns][None, :])
             seen: set[tuple[int, int]] = set()
-            for i, j in np.argwhere(good).tolist():
+            found = np.argwhere(good)
+            x, y = rows[found[:, 0]], columns[found[:, 1]]
+            near = np.concatenate([joint_estimate(registers[x[a : a + 4096]], registers[y[a : a + 4096]], sizes[x[a : a + 4096]], sizes[y[a : a + 4096]]) for a in range(0, len(found), 4096)] or [np.zeros(0)])
+            for i, j in found[near >= percent / 100 - MARGIN].tolist():
                 x, y, theirs = int(reps[rows[i]]), int(reps[columns[j]]), int(own[columns[j]])
                 if (x, theirs) not in seen:
                     seen.add((x, theirs))
@@ -239,7 +244,8 @@ def compared(mates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = mates.where("stray").withColumn("i", own_block("s")).withColumn("j", numbers("m")).withColumn("left", F.lit(True))
     right = mates.withColumn("j", own_block("m")).withColumn("i", numbers("s")).withColumn("left", F.lit(False))
     dealt = left.select("head", "i", "j", "rep", "own", "left").union(right.select("head", "i", "j", "rep", "own", "left"))
-    return dealt.join(sets.hint("merge"), "rep").groupBy("head", "i", "j").applyInArrow(run, "a long, b long")
+    known = sets.join(classes.select("rep", "sketch"), "rep")
+    return dealt.join(known.hint("merge"), "rep").groupBy("head", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _incidence(sets: list[np.ndarray], shingles: np.ndarray) -> np.ndarray:
@@ -334,7 +340,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch:
         many = mates.where("not small")
         wanted = hopeful.select(F.col("a").alias("rep")).union(hopeful.select("b")).union(many.select("rep")).distinct().join(sets.select("rep"), "rep", "left_anti")
         all_sets = scratch.save(sets.union(set_table(docs, wanted, width)), "all_sets")
-        found = scratch.save(confirmed(hopeful, all_sets, percent).union(compared(many, all_sets, percent)), "links3")
+        found = scratch.save(confirmed(hopeful, all_sets, percent).union(compared(many, all_sets, classes, percent)), "links3")
         if not found.isEmpty():
             labels = components(links.union(found), scratch, "components3")
 
