@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sparklog.llm.shared import pieces, utf8
 
-FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_lines_failed long, chars_failed long, kept boolean, cleaned string"
+FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_lines_failed long, n_punctuation long, n_navigation long, n_boilerplate long, chars_failed long, kept boolean, cleaned string"
 
 LEAST_WORDS = 50
 #: Share of words in repeated 3-word windows above which a text fails, in hundredths.
@@ -38,8 +38,15 @@ NAVIGATION_WORDS, NAVIGATION_SHARE = 12, 0.5
 #: Share of a line's words from which the phrases of notices in it make it one.
 NOTICE_SHARE = 0.1
 
+#: A line is navigation from these shares of separators, and of links, among its words.
+SEPARATOR_SHARE, LINK_SHARE = 0.25, 0.3
+#: Lines in a row of at most so many words without a sign at their end, as in menus, that make each other navigation.
+MENU_LINES, MENU_WORDS = 5, 3
+
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
+SEPARATORS = frozenset(x.encode() for x in ("|", ">", ">>", "/", "»", "·", "•", "›"))
+ENDS = tuple(x.encode() for x in ".!?:;,\"')]…”»。！？।")
 # Words of site navigation, and phrases of legal and site notices.
 NAVIGATION = frozenset(b"home menu login logout register search sitemap contact about next previous back top share print subscribe newsletter account cart checkout".split())
 BOILERPLATE = re.compile(rb"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses cookies|accept cookies|enable javascript|click here|read more|sign up for|subscribe to our|copyright (?:\(c\)|\xc2\xa9)|powered by|lorem ipsum", re.I)
@@ -57,6 +64,8 @@ def line_fails(line: bytes, words: list[bytes]) -> str | None:
         letters = sum(map(str.isalpha, text))
         if letters >= CAPITALS_FROM and sum(map(str.isupper, text)) > MOST_CAPITALS * letters:
             return "punctuation"
+    if sum(w in SEPARATORS for w in words) >= SEPARATOR_SHARE * n or sum(b"://" in w or w.startswith(b"www.") for w in words) >= LINK_SHARE * n:
+        return "navigation"
     if n <= NAVIGATION_WORDS and sum(w.strip(b".,:;|>-").lower() in NAVIGATION for w in words) >= NAVIGATION_SHARE * n:
         return "navigation"
     notices = BOILERPLATE.findall(line)
@@ -67,6 +76,17 @@ def line_fails(line: bytes, words: list[bytes]) -> str | None:
     return None
 
 
+def menus(lines: list[tuple[int, bool]]) -> list[bool]:
+    """Which of the lines (words, ends with a sign) stand in a run of short lines without a sign."""
+    out, start = [False] * len(lines), 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or lines[i][0] > MENU_WORDS or lines[i][1]:
+            if i - start >= MENU_LINES:
+                out[start:i] = [True] * (i - start)
+            start = i + 1
+    return out
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words covered by 3-word windows that come twice or more."""
     n = len(words)
@@ -94,25 +114,31 @@ def judge(text: bytes) -> tuple:
     chars = len(inside) if inside.isascii() else len(inside.decode("utf-8", "replace"))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     repeats = repeated_words(words)
+    lines = [(line, line.split()) for line in text.split(b"\n")]
+    menu = menus([(len(own), own[-1].endswith(ENDS)) for _, own in lines if own])
     seen: set[bytes] = set()
-    kept_lines, duplicates, lines, failed, lost = [], 0, 0, 0, 0
-    for line in text.split(b"\n"):
-        own = line.split()
+    kept_lines, duplicates, lost, worded = [], 0, 0, 0
+    failed = {"punctuation": 0, "navigation": 0, "boilerplate": 0}
+    for line, own in lines:
         if not own:
             kept_lines.append(line)
             continue
-        lines += 1
-        again = line in seen
-        seen.add(line)
-        duplicates += again
-        if again or line_fails(line, own):
-            failed += 1
+        again, rule = line in seen, None
+        if again:
+            duplicates += 1
+        else:
+            seen.add(line)
+            rule = line_fails(line, own) or ("navigation" if menu[worded] else None)
+        worded += 1
+        if rule:
+            failed[rule] += 1
+        if again or rule:
             lost += sum(map(len, own)) if line.isascii() else len(b"".join(own).decode("utf-8", "replace"))
         else:
             kept_lines.append(line)
     base = n < LEAST_WORDS or 100 * repeats > MOST_REPEATED * n
     kept = not base and lost <= MOST_LOST * chars
-    return n, chars, symbols, duplicates, repeats, base, lines, failed, lost, kept, b"\n".join(kept_lines) if kept else None
+    return n, chars, symbols, duplicates, repeats, base, worded, duplicates + sum(failed.values()), *failed.values(), lost, kept, b"\n".join(kept_lines) if kept else None
 
 
 def quality(docs: DataFrame, cleaned: bool = False) -> DataFrame:
@@ -120,8 +146,9 @@ def quality(docs: DataFrame, cleaned: bool = False) -> DataFrame:
 
     Returns doc_id and ``FIGURES``: word_chars are code points in words,
     n_dup_lines lines with a word that equal an earlier line, n_repeat_words
-    words in 3-word windows found twice or more. A repeated line fails like one
-    that a rule rejects. A null or empty text has no words, so it fails. Each
+    words in 3-word windows found twice or more; n_punctuation, n_navigation and
+    n_boilerplate count lines by the rule they fail first. A repeated line fails
+    like one that a rule rejects. A null or empty text has no words, so it fails. Each
     row is judged by itself, so repeated rows and doc_ids do no harm; other
     columns are ignored. An empty table gives no rows.
     """
@@ -129,7 +156,7 @@ def quality(docs: DataFrame, cleaned: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             columns = list(zip(*map(judge, utf8(batch.column(1))), strict=True))
-            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 3 + [pa.bool_()]
+            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 6 + [pa.bool_()]
             arrays = [pa.array(c, k) for c, k in zip(columns[:-1], kinds, strict=True)]
             text = pa.array(columns[-1] if cleaned else [None] * batch.num_rows, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, text], names=["doc_id", *(f.split()[0] for f in FIGURES.split(", "))])
