@@ -48,7 +48,7 @@ select query_id, rank, vec_id, distance from ranked where rank <= 10
 
 ORACLE_SQL["op10_mixing"] = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+  select doc_id, source, substr(md5(coalesce(text, '')), 1, 16) as tag, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 sources as (
   select source, sum(size)::bigint as source_size,
     1 + (row_number() over (order by source is null, source) - 1) % 3 as weight
@@ -68,18 +68,26 @@ goals as (
     case when l is null or most / weight < l.x then most else (l.total - l.fixed) * weight / l.open_weight end as target
   from steps, level),
 known as (
-  select s.doc_id, s.source, s.size, g.source_size, g.target,
-    case when g.source_size > 0 then g.target / g.source_size else 0.0::double end as ratio
+  select s.*, g.source_size, g.target, case when g.source_size > 0 then floor(g.target / g.source_size) else 0.0::double end as certain,
+    least(greatest(round(ln(1.0::double + s.size) * 64)::bigint, 1), 65536) as weight
   from sized s join goals g on s.source is not distinct from g.source),
+rests as (
+  select *, target - certain * source_size as rest from known),
+by_weight as (
+  select source, weight, sum(size) as words, sum(weight * size) as mass, any_value(rest) as rest from rests where size > 0 and rest > 0 group by source, weight),
+factors as (
+  select source, weight, (rest - coalesce(sum(words) over (partition by source order by weight desc rows between unbounded preceding and 1 preceding), 0)::double)
+    / (sum(mass) over (partition by source order by weight desc rows between current row and unbounded following))::double as factor from by_weight),
+fits as (
+  select source, max(weight) as f_weight, arg_max(factor, weight) as f_factor from factors where factor * weight <= 1 group by source),
 chances as (
-  select *, floor(ratio) as certain, target - floor(ratio) * source_size as rest,
-    least(greatest(ratio - floor(ratio), 0.0), 1.0::double - 1e-9::double) as p,
-    (('0x' || substr(md5('0:' || doc_id::varchar), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double as u
-  from known),
+  select r.*, case when not (size > 0 and rest > 0) then 0.0::double when f_weight is null or weight > f_weight then 1.0::double else least(greatest(f_factor * weight, 0.0::double), 1.0::double) end as p,
+    (('0x' || substr(md5('0:' || doc_id::varchar || ':' || tag), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double as u
+  from rests r left join fits f on r.source is not distinct from f.source),
 ranked as (
-  select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as q from chances),
+  select *, case when p >= 1 then 0.0::double when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as q from chances),
 summed as (
-  select *, sum(size) over (partition by source order by q, doc_id, size rows between unbounded preceding and current row) as through from ranked where q is not null),
+  select *, sum(size) over (partition by source order by q, doc_id, tag, size rows between unbounded preceding and current row) as through from ranked where q is not null),
 drawn as (
   select *, case when through - size / 2.0::double <= rest then 1 else 0 end as extra from summed
   union all select *, 0, 0 from ranked where q is null)
@@ -118,6 +126,8 @@ from words left join per using (doc_id)
 """
 
 _LIST = ", ".join(f"'{w}'" for w in sorted(w.decode() for w in quality.NAVIGATION))
+_SEPARATORS = ", ".join(f"'{w.decode()}'" for w in sorted(quality.SEPARATORS))
+_ENDS = "".join({"'": "''", "]": "\\]"}.get(x, x) for x in b"".join(quality.ENDS).decode())
 _NOTICES = quality.BOILERPLATE.pattern.replace(rb"\xc2\xa9", "©".encode()).decode()
 
 ORACLE_SQL["op9_quality"] = rf"""
@@ -127,22 +137,31 @@ twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g
 repeats as (select doc_id, count(distinct i + k) as n from twice, (select unnest([0, 1, 2]) as k) group by 1),
 lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as j from docs),
 worded as (select *, {WORDS.format("line")} as lw, row_number() over (partition by doc_id, line order by j) > 1 as again from lines),
+shaped as (select *, len(lw) <= {quality.MENU_WORDS} and not regexp_matches(line, '[{_ENDS}][\x20\x09-\x0D]*$') as short from worded where len(lw) > 0),
+islands as (select *, count(*) filter (not short) over (partition by doc_id order by j) as island from shaped),
+menus as (select *, short and count(*) filter (short) over (partition by doc_id, island) >= {quality.MENU_LINES} as menu from islands),
 judged as (
-  select doc_id, again, length(array_to_string(lw, '')) as chars, len(lw) as n,
-    length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > {quality.MOST_SYMBOLS} * len(lw)
-    or length(line) - length(replace(line, '!', '')) > {quality.MOST_SHOUTS} * len(lw)
-    or (regexp_matches(line, '[A-Z]') and octet_length(encode(line)) >= {quality.CAPITALS_FROM} and len(regexp_extract_all(line, '\p{{L}}')) >= {quality.CAPITALS_FROM}
-        and len(regexp_extract_all(line, '\p{{Lu}}')) > {quality.MOST_CAPITALS} * len(regexp_extract_all(line, '\p{{L}}')))
-    or (len(lw) <= {quality.NAVIGATION_WORDS} and len(list_filter(lw, lambda x: lower(trim(x, '.,:;|>-')) in ({_LIST}))) >= {quality.NAVIGATION_SHARE} * len(lw))
-    or regexp_matches(line, '(?i){_NOTICES}')
-    or (len(lw) >= {quality.ONE_WORD_FROM} and list_max(map_values(list_histogram(lw))) > {quality.MOST_OF_ONE_WORD} * len(lw)) as fails
-  from worded where len(lw) > 0),
+  select doc_id, again, length(array_to_string(lw, '')) as chars, case when again then null
+    when length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > {quality.MOST_SYMBOLS} * len(lw)
+      or length(line) - length(replace(line, '!', '')) > {quality.MOST_SHOUTS} * len(lw)
+      or (regexp_matches(line, '[A-Z]') and octet_length(encode(line)) >= {quality.CAPITALS_FROM} and len(regexp_extract_all(line, '\p{{L}}')) >= {quality.CAPITALS_FROM}
+        and len(regexp_extract_all(line, '\p{{Lu}}')) > {quality.MOST_CAPITALS} * len(regexp_extract_all(line, '\p{{L}}'))) then 'punctuation'
+    when len(list_filter(lw, lambda x: x in ({_SEPARATORS}))) >= {quality.SEPARATOR_SHARE} * len(lw)
+      or len(list_filter(lw, lambda x: contains(x, '://') or starts_with(x, 'www.'))) >= {quality.LINK_SHARE} * len(lw)
+      or (len(lw) <= {quality.NAVIGATION_WORDS} and len(list_filter(lw, lambda x: lower(trim(x, '.,:;|>-')) in ({_LIST}))) >= {quality.NAVIGATION_SHARE} * len(lw)) then 'navigation'
+    when (regexp_matches(line, '(?i){_NOTICES}') and list_sum(list_transform(regexp_extract_all(line, '(?i){_NOTICES}'), lambda x: len(string_split(x, ' ')))) >= {quality.NOTICE_SHARE} * len(lw))
+      or (len(lw) >= {quality.ONE_WORD_FROM} and list_max(map_values(list_histogram(lw))) > {quality.MOST_OF_ONE_WORD} * len(lw)) then 'boilerplate'
+    when menu then 'navigation' end as rule
+  from menus),
 per as (
-  select doc_id, count(*) as n_lines, count(*) filter (again) as n_dup_lines, count(*) filter (again or fails) as n_lines_failed, coalesce(sum(chars) filter (again or fails), 0)::bigint as chars_failed
+  select doc_id, count(*) as n_lines, count(*) filter (again) as n_dup_lines, count(*) filter (again or rule is not null) as n_lines_failed,
+    count(*) filter (rule = 'punctuation') as n_punctuation, count(*) filter (rule = 'navigation') as n_navigation, count(*) filter (rule = 'boilerplate') as n_boilerplate,
+    coalesce(sum(chars) filter (again or rule is not null), 0)::bigint as chars_failed
   from judged group by 1),
 figures as (
   select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
-    coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(n_lines_failed, 0) as n_lines_failed, coalesce(chars_failed, 0) as chars_failed
+    coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(n_lines_failed, 0) as n_lines_failed,
+    coalesce(n_punctuation, 0) as n_punctuation, coalesce(n_navigation, 0) as n_navigation, coalesce(n_boilerplate, 0) as n_boilerplate, coalesce(chars_failed, 0) as chars_failed
   from docs d left join per using (doc_id) left join repeats r using (doc_id)),
 based as (select *, n_words < {quality.LEAST_WORDS} or 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words as base_failed from figures)
 select *, not base_failed and chars_failed <= {quality.MOST_LOST} * word_chars as kept from based

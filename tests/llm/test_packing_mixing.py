@@ -82,21 +82,43 @@ def test_mix_is_close_with_many_documents(spark):
         assert abs(r[1] - want[r.source]) <= 50
 
 
-def test_ranks_follow_unequal_chances(spark):
-    from pyspark.sql import functions as F
-
-    docs = spark.range(4000).selectExpr("id as doc_id", "'a b c d' as text", "'s' as source").union(spark.range(4000, 9000).selectExpr("id", "'a b c d'", "'t'"))
-    rows = mixing.mix(docs, odds=F.when(F.col("doc_id") % 2 == 0, 1.5).otherwise(0.5)).where("copies > 0 and source = 't'").selectExpr("doc_id % 2 as odd").groupBy("odd").count().collect()
-    n = {r.odd: r["count"] for r in rows}
-    assert n[0] >= n.get(1, 0)
+def test_inclusion_follows_the_chances(spark):
+    """Chances are calibrated to the rest, unequal, 1 for some, and documents come in as often as they say."""
+    size = "case when id % 50 = 0 then 4000 when id % 3 = 0 then 10 when id % 3 = 1 then 40 else 160 end"
+    docs = spark.range(9000).selectExpr("id as doc_id", f"repeat('w ', cast({size} as int)) as text", "case when id % 2 = 0 then 'a' else 'b' end as source")
+    rows = mixing.mix(docs, weight=lambda n: n).toPandas()
+    assert {"a", "b"} == set(rows["source"])
+    drawn = 0
+    for _, own in rows.groupby("source"):
+        certain = int(own["target"].iloc[0] // own["source_size"].iloc[0])
+        rest = own["target"].iloc[0] - certain * own["source_size"].iloc[0]
+        assert (own["chance"] * own["size"]).sum() == pytest.approx(rest)
+        extra = own["copies"] - certain
+        assert set(extra) <= {0, 1} and abs((extra * own["size"]).sum() - rest) <= 2000
+        for chance, same in own.assign(extra=extra).groupby("chance"):
+            n, got = len(same), same["extra"].sum()
+            assert abs(got - n * chance) <= 5 * (n * chance * (1 - chance)) ** 0.5 + 0.5
+            drawn += 0 < chance < 1
+        assert own["chance"].nunique() >= 3
+    assert drawn >= 5
+
+
+def test_repeated_rows_are_taken_one_by_one(spark):
+    docs = spark.range(600).selectExpr("case when id < 300 then 7 when id < 400 then null else id end as doc_id", "'one two three four' as text", "case when id % 2 = 0 then 'a' else 'b' end as source")
+    rows = mixing.mix(docs).toPandas()
+    for source, own in rows.groupby("source"):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 2
+        assert mixing.mixed(docs).where(f"source = '{source}'").count() == own["copies"].sum()
 
 
 def test_mixed_rows(docs):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
     n = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    for r in mixing.mix(docs).where("doc_id <> 2").collect():
-        assert n.get(r.doc_id, 0) == (r.copies if r.size else 0)
+    want: dict = {}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + (r.copies if r.size else 0)
+    assert n == {d: c for d, c in want.items() if c}
 
 
 def test_empty_tables(none):
