@@ -85,17 +85,44 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     return place.select("conv_id", "formatted", F.transform("loss_mask", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"))).alias("loss_mask"))
 
 
+def chunks(items: Column) -> Column:
+    """An array cut into about as many parts as each has entries, so that work that grows with the square of a part stays small."""
+    n = F.size(items)
+    width = F.ceil(F.sqrt(n)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda c: F.slice(items, c * width + 1, width))
+    return F.when(n > 0, parts).otherwise(F.slice(F.array(items), 1, 0))
+
+
 def spans(sizes: Column) -> Column:
-    """Start of each text, given lead, n and tail of all; the fold carries the total and the list."""
-    empty = F.array().cast("array<struct<start:int,n:int,loss:boolean>>")
-    return F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["lead"] + s["n"] + s["tail"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + s["lead"]).alias("start"), s["n"].alias("n"), s["loss"].alias("loss")))).alias("out"),
-        ),
-    )["out"]
+    """Start of each text, given lead, n and tail of all: a fold inside each chunk, and one over the chunks."""
+    kind = "array<struct<start:int,n:int,loss:boolean>>"
+    span = lambda start, s: F.struct(start.alias("start"), s["n"].alias("n"), s["loss"].alias("loss"))
+
+    def inside(chunk: Column) -> Column:
+        return F.aggregate(
+            chunk,
+            F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
+            lambda acc, s: F.struct((acc["at"] + s["lead"] + s["n"] + s["tail"]).alias("at"), F.concat(acc["out"], F.array(span(acc["at"] + s["lead"], s))).alias("out")),
+        )
+
+    folded = F.aggregate(
+        F.transform(chunks(sizes), inside),
+        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
+        lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(c["out"], lambda s: span(acc["at"] + s["start"], s)))).alias("out")),
+    )
+    return F.flatten(folded["out"])
+
+
+def cut_out(text: Column, found: Column) -> Column:
+    """The spans (start, n) of a text as strings; each chunk of spans is cut from the text once."""
+
+    def inside(chunk: Column) -> Column:
+        first, last = F.element_at(chunk, 1), F.element_at(chunk, -1)
+        piece = F.substr(text, first["start"] + 1, last["start"] + last["n"] - first["start"])
+        return F.struct(chunk.alias("spans"), piece.alias("piece"))
+
+    one = lambda c: F.transform(c["spans"], lambda s: F.substr(c["piece"], s["start"] - F.element_at(c["spans"], 1)["start"] + 1, s["n"]))
+    return F.flatten(F.transform(F.transform(chunks(found), inside), one))
 
 
 def read_back(formatted: Column) -> Column:
@@ -108,7 +135,7 @@ def read_back(formatted: Column) -> Column:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Figures of formatted conversations, taken from the strings and masks alone."""
-    loss = F.array_join(F.transform("loss_mask", lambda s: unescape(F.substr("formatted", s["start"] + 1, s["n"]))), "")
+    loss = F.array_join(F.transform(cut_out(F.col("formatted"), F.col("loss_mask")), unescape), "")
     turns = read_back(F.col("formatted"))
     read = formatted.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return read.select(
