@@ -8,6 +8,7 @@ document's global offset and cuts it at the window borders without a shuffle.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -36,12 +37,24 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+# The settings of tokenizers that encode words one by one.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordEncoder:
-    """Ids of texts, by way of a cache of words.
+    """Ids of texts, by way of a cache of words where the tokenizer's settings allow it.
 
-    The tokenizer drops white space and never joins what it separates, so a
-    text's ids are its words' ids in order. A word of letters with signs behind
-    it is two pre-tokens; other words go to the tokenizer as they are.
+    Tokenizers with the settings above drop white space and never join what it
+    separates, so a text's ids are its words' ids in order. A word of letters
+    with signs behind it is two pre-tokens; other words go to the tokenizer as
+    they are. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,6 +62,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        self.by_word = (settings.get("normalizer"), settings.get("pre_tokenizer"), settings.get("post_processor")) == (WORD_NORMALIZER, WORD_PRE_TOKENIZER, None)
         self.letters = byte_letters()
         self.cores: dict[bytes, bytes] = {}
         encoder = self
@@ -91,6 +107,8 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
+        if not self.by_word:
+            return self.whole(text)
         words = self.words
         return b"".join([words[w] for w in text.split()])
 
@@ -136,13 +154,14 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, s
     totals = sorted((r[0], r[1]) for r in kept.groupBy("part").agg(F.sum("n")).collect())
     parts = [p for p, _ in totals]
     starts = np.concatenate([[0], np.cumsum([n for _, n in totals], dtype=np.int64)])
-    place = dict(zip(parts, starts.tolist(), strict=False))
+    # One row per partition of the scan.
+    places = spark.createDataFrame(list(zip(parts, starts.tolist(), strict=False)), "part long, first long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text=4):
             rows: list[tuple] = []
-            for doc, part, before, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first, view, start = place[part] + before, memoryview(ids), 0
+            for doc, first, n, _, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                view, start = memoryview(ids), 0
                 while start < n:
                     sequence, offset = divmod(first + start, length)
                     take = min(n - start, length - offset)
@@ -150,4 +169,5 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, s
                     start += take
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return kept.mapInArrow(cut, PIECES)
+    placed = kept.join(F.broadcast(places), "part").select("doc_id", (F.col("first") + F.col("before")).alias("first"), "n", "part", "ids")
+    return placed.mapInArrow(cut, PIECES)
