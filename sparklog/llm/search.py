@@ -1,26 +1,31 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A code is cut into segments of 16 bits, and every segment has its index. If two
-codes differ in at most s * (r + 1) - 1 of their bits, s being the number of
-segments, then at least one segment differs in r bits or fewer. So a query looks
-up all segment values within radius 0, then 1, 2, ..., verifies the full
-distance of what it meets, and stops once its k-th verified distance is at most
-s * (r + 1) - 1: nothing closer can be left.
-
-Equal codes are searched once, and only their k smallest ids are kept as
-members, so a code that many rows share costs no more than another.
+A code is cut into segments of about log2 of the number of codes bits, and every
+segment has its index. If two codes differ in at most s * (r + 1) - 1 of their
+bits, s being the number of segments, then at least one segment differs in r
+bits or fewer. So a query looks up all segment values within radius 0, then 1,
+2, ..., verifies the full distance of what it meets, and stops once its k-th
+verified distance is at most s * (r + 1) - 1: nothing closer can be left.
+
+A code is taken only from the first segment within the radius, and only in the
+first radius that meets it, so nothing is met twice and each task can keep the k
+best of its own. Equal codes are searched once, and only their k smallest ids
+are kept as members, so a code that many rows share costs no more than another.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparklog.llm.shared import Scratch
 
-SEGMENT = 16
-PER_WORD = 64 // SEGMENT
+#: Bits of a segment, at least and at most.
+LEAST, MOST = 8, 20
 
 
 def sign_words(vector: Column, words: int) -> list[Column]:
@@ -32,6 +37,25 @@ def sign_words(vector: Column, words: int) -> list[Column]:
     return out
 
 
+def width(codes: int) -> int:
+    """Bits of a segment for so many codes: each value then has about one code."""
+    return min(MOST, max(LEAST, round(math.log2(max(codes, 1)))))
+
+
+def segment(words: list[Column], start: int, bits: int) -> Column:
+    """The bits from ``start`` on, which may lie in two words; those beyond the last word are 0."""
+    w, shift = divmod(start, 64)
+    value = F.shiftrightunsigned(words[w], shift)
+    if shift + bits > 64 and w + 1 < len(words):
+        value = value.bitwiseOR(F.shiftleft(words[w + 1], 64 - shift))
+    return value.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
+def flips(bits: int, radius: int) -> Column:
+    """All numbers of ``bits`` bits of which ``radius`` are 1; one constant, which the optimizer folds."""
+    return F.split(F.lit(",".join(str(sum(1 << b for b in c)) for c in combinations(range(bits), radius))), ",").cast("array<int>")
+
+
 def topk(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scratch: Scratch | None = None) -> DataFrame:
     """The k nearest rows of each row for which ``query`` holds, itself included.
 
@@ -48,7 +72,6 @@ def topk(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id",
     known = vectors.where(F.col(vector_col).isNotNull())
     dims = known.agg(F.max(F.size(vector_col))).collect()[0][0] or 1
     n_words = -(-dims // 64)
-    n_segments = n_words * PER_WORD
     names = [f"w{i}" for i in range(n_words)]
     coded = scratch.save(known.select(F.col(id_col).cast("long").alias("id"), F.coalesce(query, F.lit(False)).alias("asks"), *sign_words(F.col(vector_col), n_words)), "codes")
 
@@ -56,21 +79,25 @@ def topk(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id",
     ranked = coded.withColumn("place", F.row_number().over(W.partitionBy(*names).orderBy("id"))).where(F.col("place") <= k)
     members = ranked.join(reps.select(*names, "rep"), names).select("rep", F.col("id").alias("member"))
     sizes = members.groupBy("rep").agg(F.count("*").alias("size"))
-    segments = lambda: F.posexplode(F.array(*[F.shiftrightunsigned(F.col(w), SEGMENT * i).bitwiseAND(F.lit((1 << SEGMENT) - 1)).cast("int") for w in names for i in range(PER_WORD)]))
-    index = scratch.save(reps.join(sizes, "rep").select(F.col("rep").alias("found"), "size", *[F.col(w).alias(f"f_{w}") for w in names], segments().alias("segment", "value")), "index")
     total = reps.count()
+    bits = width(total)
+    starts = range(0, 64 * n_words, bits)
+    n_segments = len(starts)
+    segments = lambda: F.posexplode(F.array(*[segment([F.col(w) for w in names], at, bits) for at in starts]))
+    index = scratch.save(reps.join(sizes, "rep").select(F.col("rep").alias("found"), "size", *[F.col(w).alias(f"f_{w}") for w in names], segments().alias("segment", "value")), "index")
 
-    asking = reps.where("asks").select(F.col("rep").alias("q"), *names)
-    active, met, done = asking, None, []
+    active, met, done = reps.where("asks").select(F.col("rep").alias("q"), *names), None, []
     distance = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"f_{w}"))) for w in names), F.lit(0))
     best = W.partitionBy("q").orderBy("distance", "found")
-    for radius in range(SEGMENT + 1):
-        # One constant, which the optimizer folds.
-        flips = F.split(F.lit(",".join(str(x) for x in range(1 << SEGMENT) if x.bit_count() == radius)), ",").cast("array<int>")
-        probes = active.select("q", *names, segments().alias("segment", "own")).select("q", *names, "segment", F.explode(flips).alias("flip"), "own").withColumn("value", F.col("own").bitwiseXOR(F.col("flip")))
+    differing = [F.col(w).bitwiseXOR(F.col(f"f_{w}")) for w in names]
+    apart = F.array(*[F.bit_count(segment(differing, at, bits)) for at in starts])
+    for radius in range(bits + 1):
+        probes = active.select("q", *names, segments().alias("segment", "own")).select("q", *names, "segment", F.explode(flips(bits, radius)).alias("flip"), "own").withColumn("value", F.col("own").bitwiseXOR(F.col("flip")))
         # Spark's estimate doesn't know how many rows a query's flips become, so it must not choose to broadcast them.
-        hits = probes.join(index.hint("merge"), ["segment", "value"]).select("q", "found", "size", distance.alias("distance"))
-        pool = (hits if met is None else hits.unionByName(met.drop("reached"))).groupBy("q", "found", "size").agg(F.min("distance").alias("distance"))
+        hits = probes.join(index.hint("merge"), ["segment", "value"]).withColumn("apart", apart)
+        # New in this radius, and from the first segment within it.
+        hits = hits.where((F.array_min("apart") == radius) & (F.array_position("apart", F.lit(radius)) == F.col("segment") + 1)).select("q", "found", "size", distance.alias("distance"))
+        pool = hits if met is None else hits.unionByName(met.drop("reached"))
         # k codes suffice: each has a member that comes before all members of later ones.
         top = pool.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
         met = scratch.save(top.withColumn("reached", F.sum("size").over(best)), f"met{radius}")
@@ -80,7 +107,7 @@ def topk(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id",
         done.append(met.join(over.select("q"), "q", "left_semi").drop("reached"))
         active = scratch.save(active.join(over.select("q"), "q", "left_anti"), f"active{radius}")
         met = met.join(active.select("q"), "q", "left_semi")
-        if radius == SEGMENT or active.isEmpty():
+        if radius == bits or active.isEmpty():
             break
     if not active.isEmpty():
         done.append(met.drop("reached"))
