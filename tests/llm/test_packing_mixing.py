@@ -22,6 +22,16 @@ def test_words_give_the_ids_of_whole_texts(tokenizer, texts):
         assert np.frombuffer(encode(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizers_get_whole_texts(texts, name):
+    from tokenizers import Tokenizer
+
+    own, made = Tokenizer.from_file(tokenizer_path(name)), packing.WordEncoder(tokenizer_path(name))
+    assert made.by_word == (name == "word_bpe_49k.json")
+    for text in [t for t in texts if t is not None][:14] + ["Don't  STOP\n\tit's 12 naïve ﬁn"]:
+        assert np.frombuffer(made.encode(text.encode()), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
 def test_full_caches_change_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "CACHE_ENTRIES", 3)
     encode = packing.WordEncoder(tokenizer_path()).encode

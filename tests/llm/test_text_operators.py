@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,3 +263,39 @@ def test_topk_of_few(spark, none):
     got = search.topk(vectors, F.lit(True), k=5).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.distance) for r in got) == [(0, 1, 0, 0), (0, 2, 1, 1), (1, 1, 1, 0), (1, 2, 0, 1)]
     assert search.topk(vectors.limit(0), F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize(("codes", "bits"), [(0, 8), (1, 8), (5000, 12), (1 << 15, 15), (10**9, 20)])
+def test_segments_grow_with_the_codes(codes, bits):
+    assert search.width(codes) == bits
+
+
+def test_segments_cross_words(spark):
+    words = [0x0123456789ABCDEF, -0x0FEDCBA987654321]
+    whole = (words[0] & (1 << 64) - 1) | (words[1] & (1 << 64) - 1) << 64
+    df = spark.createDataFrame([tuple(words)], "w0 long, w1 long")
+    got = df.select(*[search.segment([F.col("w0"), F.col("w1")], at, 13).alias(f"s{at}") for at in range(0, 128, 13)]).collect()[0]
+    assert [got[f"s{at}"] for at in range(0, 128, 13)] == [whole >> at & (1 << 13) - 1 for at in range(0, 128, 13)]
+
+
+def test_a_conversation_of_many_turns(spark):
+    """Spans stay right over many chunks, and the work doesn't grow with the square of the turns."""
+    n = 16_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("tür <| "), F.col("id")).alias("text"))
+    began = time.perf_counter()
+    (r,) = chat.digests(chat.format_chats(turns)).collect()
+    assert time.perf_counter() - began < 60
+    said = "".join(f"tür <| {i}" for i in range(n) if i % 3)
+    assert r.n_turns == n and r.loss_chars == len(said) and r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_menus_separators_and_links_are_navigation():
+    fails = lambda s: quality.line_fails(s.encode(), s.encode().split())
+    assert fails("Inicio | Noticias | Deportes | Contacto") == "navigation" == fails("Start > Kultur > Musik")
+    assert fails("siehe http://a.example/x und www.b.example/y hier") == "navigation"
+    assert fails("Ein Satz mit einem | darin, der sonst ganz gewöhnlich ist und bleibt.") is None
+    assert quality.menus([(1, False)] * 5 + [(9, True)] + [(1, False)] * 4) == [True] * 5 + [False] * 5
+    body = prose(3, 100)
+    figures = quality.judge(("Über uns\nImpressum\nDatenschutz\nHilfe\nKontakt\n" + body).encode())
+    assert figures[6:11] == (14, 5, 0, 5, 0) and figures[-2] and figures[-1].decode() == body
+
