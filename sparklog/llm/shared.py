@@ -33,13 +33,16 @@ def stored_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def measured(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs``, written and reread if the optimizer only guesses its size: where it doesn't come from files, or from a join."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    return docs if plan.collectLeaves().size() == 1 and stored_bytes(docs) < 1 << 62 else scratch.save(docs, "measured")
+
+
 def fingerprint_partitions(docs: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
-    """How many shuffle partitions keep each within ``bytes_each`` of the input."""
+    """How many shuffle partitions keep each within ``bytes_each`` of a ``measured`` input."""
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = stored_bytes(docs)
-    if size >= 1 << 50:  # unknown: the optimizer's largest default
-        return least
-    return max(least, math.ceil(size / bytes_each))
+    return max(least, math.ceil(stored_bytes(docs) / bytes_each))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklog.llm.fingerprints import ROWS, Batch, chosen, exchange, gathered, keyed, own_id, rolling, texts_of, unpack_positions
-from sparklog.llm.shared import Scratch, fingerprint_partitions, stored_bytes
+from sparklog.llm.shared import Scratch, fingerprint_partitions, measured, stored_bytes
 
 #: Bytes of text whose repeats are settled before anything is sent.
 CHUNK = 8_000_000
@@ -171,6 +171,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, block: int | None = None
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block wherever it starts: 2 * block - 1 <= window")
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
+    docs = measured(docs.select("doc_id", "text"), scratch)
     base, buckets = keyed(docs), fingerprint_partitions(docs)
     bits = key_bits(stored_bytes(docs))
     hits = scratch.save(exchange(base, lambda b, n: probe(b, n, block, bits), chosen(hit(block)), buckets), "hits")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklog.llm.fingerprints import ENTRIES, LAST, ROWS, Answer, Batch, bucket_of, exchange, gathered, joined, keyed, mix, own_id, pack_arrays, texts_of, unpack_positions
-from sparklog.llm.shared import Scratch, fingerprint_partitions, free_name, pieces, utf8
+from sparklog.llm.shared import Scratch, fingerprint_partitions, free_name, measured, pieces, utf8
 from sparklog.llm.substrings import runs
 
 CHUNK = 2_000_000
@@ -403,7 +403,9 @@ def cut_texts(docs: DataFrame, window: int = 100, scratch: Scratch | None = None
     Where a cut goes through a character, its other bytes go too. A text that is
     repeated as a whole becomes empty, a null text stays null; rows stay.
     """
-    repeats = repeated_windows(docs, window, scratch or Scratch(docs.sparkSession, "suffixes"))
+    scratch = scratch or Scratch(docs.sparkSession, "suffixes")
+    docs = measured(docs, scratch)
+    repeats = repeated_windows(docs, window, scratch)
     own, tag, block = (free_name(docs, x) for x in ("own", "tag", "block"))
     known = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(tag, F.xxhash64("text"))
     marked = known.join(repeats.select(F.col("doc_id").alias(own), F.col("tag").alias(tag), F.col("block").alias(block)).hint("shuffle_hash"), [own, tag], "left").select(*docs.columns, block)
@@ -440,8 +442,10 @@ def dedup_bytes(docs: DataFrame, window: int = 100, with_bytes: bool = False, sc
     the order of places. A null doc_id comes after all others. Other columns are
     ignored. An empty table gives no rows.
     """
+    scratch = scratch or Scratch(docs.sparkSession, "suffixes")
+    docs = measured(docs.select("doc_id", "text"), scratch)
     base = keyed(docs)
-    repeats = repeated_windows(docs, window, scratch or Scratch(docs.sparkSession, "suffixes"))
+    repeats = repeated_windows(docs, window, scratch)
     marked = base.join(repeats.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "block")
     out = marked.mapInArrow(lambda b: remove(b, window, with_bytes), RESULT).withColumn("doc_id", own_id())
     return out if with_bytes else out.drop("kept")

@@ -23,13 +23,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Levels of the tree for degenerate paths; their deeper segments share the class ``{deep}``.
 DEEPEST = 64
-#: Only in the SQL: its levels.
+#: Only in the SQL, which has a fixed number of levels; no given path is deeper.
 DEPTH = 6
 #: Standard errors from which a branch's blocked share counts as its own, and how many
 #: branches may be compared at that; for more, the bound rises so that no more differ by chance.
 APART, FANOUT = 1.96, 32
-#: Only in the SQL: the share of pages that keeps a branch apart where children are more than ``FANOUT``.
-LEAST_SHARE = 0.05
 #: Labels that a prior weighs, and the purity above which a template is blocked.
 SMOOTHING, PURITY = 4.0, 0.5
 
