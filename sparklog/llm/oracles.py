@@ -188,7 +188,8 @@ def url_sql() -> str:
             f"c{k} as (select host, template, shape[{k}] as segment, sum(n)::bigint as n, sum(labelled)::bigint as labelled, sum(blocked)::bigint as blocked from t{k - 1} where len(shape) >= {k} group by 1, 2, 3)",
             f"p{k} as (select host, template, count(*) filter (labelled > 0 and not starts_with(segment, '{{')) as compared, sum(labelled)::bigint as all_labelled, sum(blocked)::bigint as all_blocked from c{k} group by 1, 2)",
             f"d{k} as (select *, all_blocked::double / nullif(all_labelled, 0) as pooled, all_labelled - labelled as others, all_blocked - blocked as bad from c{k} join p{k} using (host, template))",
-            f"n{k} as (select host, template, segment, case when labelled > 0 and others > 0 and pooled > 0 and pooled < 1 and abs(blocked::double / nullif(labelled, 0) - bad::double / nullif(others, 0)) > sqrt({urls.APART**2}::double + 2 * ln(greatest(compared / {float(urls.FANOUT)}::double, 1.0::double))) * sqrt(pooled * (1 - pooled) * (1.0::double / nullif(labelled, 0) + 1.0::double / nullif(others, 0))) and not starts_with(segment, '{{') then segment else '*' end as name from d{k})",
+            f"r{k} as (select host, template, segment, case when labelled > 0 and others > 0 and pooled > 0 and pooled < 1 and abs(blocked::double / nullif(labelled, 0) - bad::double / nullif(others, 0)) > sqrt({urls.APART**2}::double + 2 * ln(greatest(compared / {float(urls.FANOUT)}::double, 1.0::double))) * sqrt(pooled * (1 - pooled) * (1.0::double / nullif(labelled, 0) + 1.0::double / nullif(others, 0))) and not starts_with(segment, '{{') then floor(blocked::double / nullif(labelled, 0) * {urls.RATES} + 0.5::double)::int end as rate from d{k})",
+            f"n{k} as (select host, template, segment, case when rate is null then '*' when count(*) over (partition by host, template, rate) > 1 then '{{share ' || rate || '}}' else segment end as name from r{k})",
             f"t{k} as (select t.host, t.shape, t.n, t.labelled, t.blocked, case when x.name is not null then t.template || [x.name] else t.template end as template from t{k - 1} t left join n{k} x on x.host = t.host and x.template = t.template and x.segment = t.shape[{k}])",
         ]
     last, a = f"t{urls.DEPTH}", f"{urls.SMOOTHING}::double"

@@ -4,9 +4,11 @@ The pages that a rule decides are the labels. Per host, paths form a tree of
 segments. Level by level, segments that vary by their form (numbers, hex, mixed
 names) become wildcards, and a branch stays apart from its siblings only if its
 share of blocked labels differs from theirs beyond chance, however many pages or
-siblings it has; all other branches merge into the wildcard. A template is rejected by its smoothed
-purity: the blocked share of its labels, drawn towards its host's share, which
-is drawn towards that of all pages.
+siblings it has; all other branches merge into the wildcard. Branches that stay
+apart merge with each other where their shares fall into one class, so that what
+lies below them is judged together. A template is rejected by its smoothed purity:
+the blocked share of its labels, drawn towards its host's share, which is drawn
+towards that of all pages.
 
 Everything here is DataFrame expressions. The tree is built on the distinct
 shapes of paths with their counts, not on pages.
@@ -28,6 +30,8 @@ DEPTH = 6
 #: Standard errors from which a branch's blocked share counts as its own, and how many
 #: branches may be compared at that; for more, the bound rises so that no more differ by chance.
 APART, FANOUT = 1.96, 32
+#: Classes of blocked shares in which branches merge with each other.
+RATES = 4
 #: Labels that a prior weighs, and the purity above which a template is blocked.
 SMOOTHING, PURITY = 4.0, 0.5
 
@@ -85,7 +89,11 @@ def templates(shapes: DataFrame, scratch: Scratch) -> DataFrame:
         # The tail of the normal distribution falls with exp(-bound ** 2 / 2).
         bound = F.sqrt(F.lit(APART**2) + 2 * F.log(F.greatest(F.col("compared") / F.lit(float(FANOUT)), F.lit(1.0))))
         differs = F.when((F.col("labelled") > 0) & (others > 0) & (pooled > 0) & (pooled < 1), F.abs(F.try_divide(F.col("blocked"), F.col("labelled")) - F.try_divide(bad, others)) > bound * error).otherwise(F.lit(False))
-        joined = children.join(parents, ["host", "template"]).select(F.col("host").alias("c_host"), F.col("template").alias("c_template"), F.col("segment").alias("c_segment"), F.when(differs & literal, F.col("segment")).otherwise(F.lit("*")).alias("name"))
+        rate = F.floor(F.try_divide("blocked", "labelled") * RATES + 0.5).cast("int")
+        tested = scratch.save(children.join(parents, ["host", "template"]).select("host", "template", "segment", F.when(differs & literal, rate).alias("rate")), f"tested{level}")
+        peers = tested.where("rate is not null").groupBy("host", "template", "rate").agg(F.count("*").alias("peers"))
+        name = F.when(F.col("rate").isNull(), F.lit("*")).when(F.col("peers") > 1, F.concat(F.lit("{share "), F.col("rate").cast("string"), F.lit("}"))).otherwise(F.col("segment"))
+        joined = tested.join(peers, ["host", "template", "rate"], "left").select(F.col("host").alias("c_host"), F.col("template").alias("c_template"), F.col("segment").alias("c_segment"), name.alias("name"))
         match = (F.col("host") == F.col("c_host")) & (F.col("template") == F.col("c_template")) & (F.get("shape", F.lit(level - 1)) == F.col("c_segment"))
         rows = rows.join(joined, match, "left").withColumn("template", F.when(F.col("name").isNotNull(), F.concat("template", F.array("name"))).otherwise(F.col("template"))).drop("c_host", "c_template", "c_segment", "name")
         rows = scratch.save(rows, f"level{level}")

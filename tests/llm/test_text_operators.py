@@ -241,6 +241,16 @@ def test_url_branch_of_many_stays_apart(spark):
     assert {(got[100 * k + 3].template, got[100 * k + 3].verdict) for k in range(1, 50)} == {("/*/*", "allow")}
 
 
+def test_similar_url_branches_merge_with_each_other(spark):
+    """Blocked branches with few pages below them are one template, as are clean ones."""
+    names = ["ads", "spam", "promo", "news", "docs", "blog"]
+    pages = spark.createDataFrame([(1000 * k + i, f"http://h.example.com/{name}/{i}/x") for k, name in enumerate(names) for i in range(60)], "page_id long, url string")
+    rules = [("block" if k < 3 else "allow", f"example.com/{name}/1") for k, name in enumerate(names)]
+    got = {r.page_id: r for r in urls.judge_urls(pages, rules).collect()}
+    found = [{(got[1000 * k + i].template, got[1000 * k + i].verdict) for i in (3, 25, 47)} for k in range(6)]
+    assert found[:3] == [{("/{share 4}/*/*", "block")}] * 3 and found[3:] == [{("/{share 0}/*/*", "allow")}] * 3
+
+
 def test_topk_against_all_pairs(spark):
     rng = random.Random(3)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(96)]) for i in range(150)]
