@@ -36,7 +36,7 @@ def stored_bytes(df: DataFrame) -> int:
 def measured(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs``, written and reread if the optimizer only guesses its size: where it doesn't come from files, or from a join."""
     plan = docs._jdf.queryExecution().optimizedPlan()
-    return docs if plan.collectLeaves().size() == 1 and stored_bytes(docs) < 1 << 62 else scratch.save(docs, "measured")
+    return docs if plan.collectLeaves().size() == 1 and stored_bytes(docs) < 1 << 50 else scratch.save(docs, "measured")
 
 
 def fingerprint_partitions(docs: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
