@@ -275,19 +275,6 @@ def test_topk_of_few(spark, none):
     assert search.topk(vectors.limit(0), F.lit(True)).collect() == []
 
 
-@pytest.mark.parametrize(("codes", "bits"), [(0, 8), (1, 8), (5000, 12), (1 << 15, 15), (10**9, 20)])
-def test_segments_grow_with_the_codes(codes, bits):
-    assert search.width(codes) == bits
-
-
-def test_segments_cross_words(spark):
-    words = [0x0123456789ABCDEF, -0x0FEDCBA987654321]
-    whole = (words[0] & (1 << 64) - 1) | (words[1] & (1 << 64) - 1) << 64
-    df = spark.createDataFrame([tuple(words)], "w0 long, w1 long")
-    got = df.select(*[search.segment([F.col("w0"), F.col("w1")], at, 13).alias(f"s{at}") for at in range(0, 128, 13)]).collect()[0]
-    assert [got[f"s{at}"] for at in range(0, 128, 13)] == [whole >> at & (1 << 13) - 1 for at in range(0, 128, 13)]
-
-
 def test_a_conversation_of_many_turns(spark):
     """Spans stay right over many chunks, and the work doesn't grow with the square of the turns."""
     n = 16_000
